@@ -8,7 +8,7 @@ RADIUS differing positions leave some v orthogonal to all of them, so the pair
 agrees on the mask of that v.  A bucket with more than ``BUCKET`` different
 fingerprints is never gathered: its members move on to buckets under a further
 covering of the bits that the first mask left free.  After three coverings at most
-seven bits are free, so the third level holds no bucket over 2**7 members and the
+eight bits are free, so the third level holds no bucket over 2**8 members and the
 search is exact at any size.
 """
 
