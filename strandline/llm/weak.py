@@ -41,15 +41,17 @@ def posterior(model: LabelModel, votes: np.ndarray) -> np.ndarray:
 
 
 def fit_accuracies(
-    votes: np.ndarray, weight: np.ndarray, prior: float = 0.5, accuracy: float = 0.8, rounds: int = 200, smooth: float = 2.0
+    votes: np.ndarray, weight: np.ndarray, prior: float = 0.5, accuracy: float = 0.8, rounds: int = 200, smooth: float = 0.005
 ) -> LabelModel:
     """Fit on vote patterns (rows of -1, 0, +1) and the number of rows with each.
 
-    ``prior`` and ``accuracy`` start the search and, as ``smooth`` pseudo-rows for
-    each rule and label, keep chances off 0 and 1.  A rule whose accuracy sinks
-    below one half would have swapped the labels' meaning; it is held at one half.
+    ``prior`` and ``accuracy`` start the search; as ``smooth`` of all rows (and two
+    rows at least) for each rule and label they also keep chances off 0 and 1 and
+    the labels to their meaning.  A rule whose accuracy would sink below one half
+    is held there.
     """
     rules = votes.shape[1]
+    smooth = 2 + smooth * weight.sum()
     rate = np.array([(weight[:, None] * (votes == v)).sum(axis=0) + smooth / 3 for v in (-1, 0, 1)]).T
     rate /= rate.sum(axis=1, keepdims=True)
     voted = rate[:, 0] + rate[:, 2]
