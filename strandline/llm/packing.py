@@ -13,8 +13,11 @@ of pieces is shuffled.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,10 @@ from strandline.session import checkpointed
 CAPACITY = 2048
 #: Pieces packed together, on average.
 BLOCK = 32768
-#: Words whose ids a worker remembers, and bytes of text it takes on at a time.
-REMEMBERED, CHUNK = 300_000, 8 << 20
+#: Word parts whose ids a worker remembers, and bytes of text it takes on at a time.
+REMEMBERED, CHUNK = 1_000_000, 8 << 20
+
+_ASCII_LETTERS = frozenset(string.ascii_letters)
 
 PIECES = "piece int, start long, length long, ids_crc32 long, salt long"
 
@@ -40,47 +45,70 @@ PIECES = "piece int, start long, length long, ids_crc32 long, salt long"
 class WordTokenizer:
     """Token ids of texts whose tokenizer never joins what white space separates.
 
-    That holds where the tokenizer drops white space before it splits, as
-    ``word_bpe_49k.json`` does.  Each different word of a chunk is encoded once.
+    That holds where the tokenizer drops white space before it splits, folds case
+    and splits letters from signs, as ``word_bpe_49k.json`` does.  A word is encoded
+    as its letters and a closing sign; each different part is encoded once.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = np.zeros(2, np.int64)
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        if "<|" in word:  # may be a special token, which is matched before case is folded
+            return word, ""
+        if word.isascii():
+            word = word.lower()
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2] in _ASCII_LETTERS:
+            return word[:-1], word[-1]
+        return word, ""
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        return flat, lengths
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (and the last ends)."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        base = len(self.starts) - 1
-        new = [w for w in words if w not in self.known]
+        parts = [part for word in coded.dictionary.to_pylist() for part in self._parts(word)]
+        known, base = self.known, len(self.starts) - 1
+        new = list(dict.fromkeys(p for p in parts if p not in known))
         flat, lengths = self._encode(new)
         ids = np.concatenate([self.ids, flat])
         starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        place = dict(zip(new, range(base, base + len(new)), strict=True))
-        at = np.fromiter((place[w] if w in place else self.known[w] for w in words), np.int64, len(words))
-        spare = max(0, min(len(new), REMEMBERED - len(self.known)))
-        if spare:  # words met first stay known; most of a text's words are among them
-            self.known.update(zip(new[:spare], range(base, base + spare), strict=True))
+        fresh = dict(zip(new, range(base, base + len(new)), strict=True))
+        place = np.fromiter((known[p] if p in known else fresh[p] for p in parts), np.int64, len(parts))
+        spare = max(0, min(len(new), REMEMBERED - len(known)))
+        if spare:  # parts met first stay known; most words of a text are among them
+            known.update(zip(new[:spare], range(base, base + spare), strict=True))
             self.starts = starts[: base + spare + 1]
             self.ids = ids[: self.starts[-1]]
-        word = at[coded.indices.to_numpy()]
-        sizes = (starts[1:] - starts[:-1])[word]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.repeat(starts[:-1][word] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return out, bounds
+        # ids of each different word, then of each word of the texts
+        sizes, ids = _gather(ids, starts, place)
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        sizes, ids = _gather(ids, np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy())
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, bounds
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the spans ``place`` of ``ids``, and the spans one after the other."""
+    sizes = (starts[1:] - starts[:-1])[place]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return sizes, ids[np.repeat(starts[:-1][place] - (ends - sizes), sizes) + np.arange(total)]
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process; it keeps what it has learned from task to task."""
+    return WordTokenizer(path)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -110,7 +138,7 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordTokenizer(path), TaskContext.get().partitionId() << 40
+        words, seen = word_tokenizer(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in _chunks(batch):
                 ids, bounds = words.encode(pc.fill_null(chunk.column(1), ""))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from strandline.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "Hello  World", "it's <|endoftext|>x 42", "naïve ÇA x", "Σας ΟΔΟΣ", "é ́e", "\x1c a\x85b", "日本語 テスト", "a\x0bb\x0cc\r\nd", "😀 🎉🎉"]
+ODD = ["", " ", "Hello  World", "it's <|endoftext|>x 42", "naïve ÇA x", "Σας ΟΔΟΣ", "é ́e", "\x1c a\x85b", "日本語 テスト", "a\x0bb\x0cc\r\nd", "😀 🎉🎉", "<|ENDOFTEXT|>. X.y. It's. end.. q?! É. é, 5. a-b, <|startoftext|>, don't!"]
 
 
 def test_word_tokenizer_equals_whole_text(monkeypatch):
