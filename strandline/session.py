@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +23,28 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder, its lineage cut.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a temporary one
-    is made only in a local session where nothing is set.
+    A temporary one is made only in a local session where nothing is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the checkpoint folder, its lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new place in the checkpoint folder, and read again."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
