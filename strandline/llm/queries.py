@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import htmltext, language, packing, pii, quality, rules, simhash, winnowing
+from strandline.llm import htmltext, language, mixing, packing, pii, quality, rules, simhash, urlrules, winnowing
 from strandline.llm.common import table
 
 
@@ -24,10 +24,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlrules.judge(pages, urlrules.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
     "op3_winnowing": op3_winnowing,
+    "op4_mixing": op4_mixing,
     "op5_rules": op5_rules,
+    "op6_urls": op6_urls,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,

@@ -185,11 +185,8 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of its smallest id.
 
-    Rows that repeat an id count once.  A group without any id keeps its rows.
+    Rows that repeat an id count once.  Rows without an id cannot be named and stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    mine = F.col("component_id").eqNullSafe(F.col(id_col))
-    keep = found.where(mine).select(F.col(id_col).alias("__keep")).distinct()
-    named = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
-    with_id = named.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.unionByName(named.where(F.col(id_col).isNull()))
+    keep = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
+    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
