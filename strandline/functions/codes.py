@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that stand for one another in site numbers and addresses.
 WIDE = "０１２３４５６７８９（）［］，．：；？！"
@@ -51,7 +52,7 @@ def composite(prefix: str, *parts: Column, sep: str = "_") -> Column:
     return F.when(known, F.concat(F.lit(prefix), F.concat_ws(sep, *parts)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode normal form KC, which no built-in function gives; null stays null."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What separates tokens outside brackets.
 SEPARATORS = "・･,、;/／|\t\r\n 　"
@@ -44,7 +45,7 @@ def _nested(text: str | None) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens_nested(text: pd.Series) -> pd.Series:
     """Different tokens of a text at bracket depth zero, for any nesting; empty for null."""
     return text.map(_nested)
