@@ -174,5 +174,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return {"id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = map_batches(rows, run, f"id {id_kind}, url {url_kind}, text string, n_chars long")
+    found = map_batches(rows, run, f"id {id_kind}, url {url_kind}, text string, n_chars long", "html")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

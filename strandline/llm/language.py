@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import crc_mod4
+from strandline.llm.common import crc_mod4, sliced
 
 CHAIN = 128
 #: Hashed n-gram slots; n-grams of one to three characters, word edges included.
@@ -29,7 +29,7 @@ SLOTS, GRAMS = 1 << 16, 3
 #: Bounds of the training sample: documents for each language, characters of one, words in all.
 DOCS_PER_LANGUAGE, MAX_CHARS, MAX_WORDS = 400, 20_000, 400_000
 #: Bytes of text labelled at a time.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -337,30 +337,14 @@ class Labeler:
         return marginals(np.concatenate(scores)[place], lengths, self.field.transitions), np.concatenate(letter)[place], begins
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    texts = pc.fill_null(texts, "")
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, side="right")))
-        yield at, texts.slice(at, end - at)
-        at = end
-
-
 def predict_batch(labeler: Labeler, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and its share of each text; UNKNOWN and 0 where there is no letter."""
-    names, scores = [], []
-    for _, part in _chunks(texts):
-        if not labeler.field.languages:
-            names += [UNKNOWN] * len(part)
-            scores.append(np.zeros(len(part)))
-            continue
-        shares = labeler.shares(part)
-        total = shares.sum(axis=1)
-        best = shares.argmax(axis=1)
-        names += [labeler.field.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total, strict=True)]
-        scores.append(np.where(total > 0, shares.max(axis=1) / np.maximum(total, 1e-30), 0))
-    return names, np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0)
+    if not labeler.field.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    shares = labeler.shares(pc.fill_null(texts, ""))
+    total, best = shares.sum(axis=1), shares.argmax(axis=1)
+    names = [labeler.field.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total, strict=True)]
+    return names, np.clip(np.where(total > 0, shares.max(axis=1) / np.maximum(total, 1e-30), 0), 0, 1)
 
 
 def identify(
@@ -378,7 +362,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(field)
-        for batch in batches:
+        for batch in sliced(batches, "text", CHUNK):
             names, scores = predict_batch(labeler, batch.column(1))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
@@ -393,15 +377,14 @@ def switches(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(field)
-        for batch in batches:
+        for batch in sliced(batches, "text", CHUNK):
             rows: list[tuple] = []
-            for at, part in _chunks(batch.column(1)):
-                chance, _, begins = labeler.words(part)
-                best = chance.argmax(axis=1)
-                for i, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
-                    if b > a:
-                        cut = np.concatenate([[0], np.nonzero(np.diff(best[a:b]))[0] + 1, [b - a]])
-                        rows += [(at + i, int(s), int(e - s), field.languages[best[a + s]]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            chance, _, begins = labeler.words(pc.fill_null(batch.column(1), ""))
+            best = chance.argmax(axis=1)
+            for i, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
+                if b > a:
+                    cut = np.concatenate([[0], np.nonzero(np.diff(best[a:b]))[0] + 1, [b - a]])
+                    rows += [(i, int(s), int(e - s), field.languages[best[a + s]]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
             if rows:
                 place, first, size, names = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict(
@@ -420,7 +403,7 @@ def keep_known(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(field)
-        for batch in batches:
+        for batch in sliced(batches, text_col, CHUNK):
             names, scores = predict_batch(labeler, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)]))
 

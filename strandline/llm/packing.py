@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
+from strandline.llm.common import sliced
 from strandline.session import checkpointed
 
 CAPACITY = 2048
 #: Pieces packed together, on average.
 BLOCK = 32768
-#: Word parts whose ids a worker remembers, and bytes of text it takes on at a time.
-REMEMBERED, CHUNK = 1_000_000, 8 << 20
+#: Word parts whose ids a worker remembers.
+REMEMBERED = 400_000
 
 _ASCII_LETTERS = frozenset(string.ascii_letters)
 
@@ -68,9 +69,12 @@ class WordTokenizer:
         return word, ""
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 8192):  # an encoding holds much more than its ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (and the last ends)."""
@@ -111,16 +115,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        done = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -139,20 +133,19 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = word_tokenizer(path), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for chunk in _chunks(batch):
-                ids, bounds = words.encode(pc.fill_null(chunk.column(1), ""))
-                rows = []
-                for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(own), capacity)):
-                        part = own[start : start + capacity]
-                        rows.append((row, piece, start, len(part), zlib.crc32(part.tobytes()), seen + row))
-                seen += chunk.num_rows
-                row, *rest = (np.array(c) for c in zip(*rows, strict=True))
-                names = ["piece", "start", "length", "ids_crc32", "salt"]
-                columns = {n: pa.array(c.astype(np.int32 if n == "piece" else np.int64)) for n, c in zip(names, rest, strict=True)}
-                yield pa.RecordBatch.from_pydict({"id": chunk.column(0).take(pa.array(row))} | columns)
+        for chunk in sliced(batches, "text"):
+            ids, bounds = words.encode(pc.fill_null(chunk.column(1), ""))
+            rows = []
+            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
+                for piece, start in enumerate(range(0, len(own), capacity)):
+                    part = own[start : start + capacity]
+                    rows.append((row, piece, start, len(part), zlib.crc32(part.tobytes()), seen + row))
+            seen += chunk.num_rows
+            row, *rest = (np.array(c) for c in zip(*rows, strict=True))
+            names = ["piece", "start", "length", "ids_crc32", "salt"]
+            columns = {n: pa.array(c.astype(np.int32 if n == "piece" else np.int64)) for n, c in zip(names, rest, strict=True)}
+            yield pa.RecordBatch.from_pydict({"id": chunk.column(0).take(pa.array(row))} | columns)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECES}")
 

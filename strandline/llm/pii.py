@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import sliced
 from strandline.llm.weak import fit_accuracies, posterior
 from strandline.session import checkpointed
 
@@ -156,7 +157,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -266,7 +267,7 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, id_c
     admitted = {f for f, p in fit_spans(found).items() if p >= threshold}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts = [None if t is None else _clean(t, admitted) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

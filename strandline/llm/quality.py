@@ -48,7 +48,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return {"id": batch.column(0)} | {n: found[:, i] for i, n in enumerate(FEATURES)}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} double" for n in FEATURES))
+    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} double" for n in FEATURES), "text")
 
 
 def train(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Forest:

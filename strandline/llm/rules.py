@@ -72,7 +72,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return {"id": batch.column(0)} | {n: found[:, i] for i, n in enumerate(MEASURES)}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} long" for n in MEASURES))
+    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} long" for n in MEASURES), "text")
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:

@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long", "text")
 
 
 def _forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
