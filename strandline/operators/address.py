@@ -73,7 +73,7 @@ def cascade(addresses: DataFrame, names: DataFrame, aliases: DataFrame) -> DataF
     late = longest_matches(left, named.select("area", F.col("__n").alias("name"))).select("address_id", "name", F.lit(5).alias("m")).groupBy("address_id").agg(best)
     found = early.unionByName(late).select("address_id", "b.name", "b.m")
     methods = F.array(*map(F.lit, ("exact", "normalised", "partial", "alias", "dictionary")))
-    return addresses.select("address_id").join(found, "address_id", "left").select("address_id", "name", F.coalesce(F.element_at(methods, F.col("m")), F.lit("unresolved")).alias("method"))
+    return addresses.select("address_id").join(found, "address_id", "left").select("address_id", "name", F.when(F.col("m").isNull(), "unresolved").otherwise(F.element_at(methods, F.coalesce("m", F.lit(1)))).alias("method"))
 
 
 def lgc_check(coordinate_ok: Column, areas: Column, own: Column) -> Column:

@@ -142,7 +142,7 @@ def metrics(frame: DataFrame, n: int = len(PHASES)) -> DataFrame:
         only(gap_free).alias("gap_free_span_component"),
         only(F.when(present <= 1, 0.0).otherwise(clamp01(penalty))).alias("intermittency_index"),
         only(code).alias("sequence_class_code"),
-    ).withColumns({"sequence_class": F.element_at(F.array(*map(F.lit, CLASSES)), F.col("sequence_class_code") + 1), "continuity_index": continuity(*WEIGHT_SETS[0][1:], n)})
+    ).withColumns({"sequence_class": F.when(F.col("sequence_class_code").isNotNull(), F.element_at(F.array(*map(F.lit, CLASSES)), F.coalesce("sequence_class_code", F.lit(0)) + 1)), "continuity_index": continuity(*WEIGHT_SETS[0][1:], n)})
 
 
 def continuity(w_presence, w_run, w_gap, n: int = len(PHASES)) -> Column:

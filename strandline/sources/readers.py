@@ -16,13 +16,21 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp932", "shift_jis")
 _JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS"}
 
 
+def java_charset(spark: SparkSession, encoding: str) -> str:
+    """The JVM's name of an encoding; beyond Unicode and Latin 1 the session must be told to take it."""
+    name = _JAVA.get(encoding.lower(), encoding)
+    if name.lower() in ("windows-31j", "shift_jis"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return name
+
+
 def read_register(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "utf-8") -> DataFrame:
     """A CSV with every column as text; nothing is inferred, so codes keep their zeros.
 
     ``columns`` skips the pass over the header.  Columns named ``Unnamed: 12`` and the
     like are dropped, and a byte order mark is taken off the first name.
     """
-    reader = spark.read.option("header", True).option("encoding", _JAVA.get(encoding, encoding)).option("multiLine", False).option("escape", '"')
+    reader = spark.read.option("header", True).option("encoding", java_charset(spark, encoding)).option("multiLine", False).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     frame = reader.csv(path)

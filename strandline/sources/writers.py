@@ -9,12 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.readers import java_charset
+
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
 def write_csv(frame: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """CSV with a header and null as empty; ``windows-31j`` gives the twin for older spreadsheets."""
-    frame.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("encoding", encoding).csv(path)
+    frame.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("encoding", java_charset(frame.sparkSession, encoding)).csv(path)
 
 
 def file_part(name: str, key: str) -> str:
