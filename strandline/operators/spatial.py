@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strandline.functions.numeric import normal_upper
 from strandline.functions.stats import bh, zscore
 from strandline.operators.components import connected_components
+from strandline.session import checkpointed
 
 DRAWS, SEED, ALPHA = 999, 20260809, 0.05
 #: Most values of a model that local permutation draws from; beyond it they are an even, seeded sample of them.
@@ -46,11 +47,11 @@ def global_moran(edges: DataFrame, values: DataFrame) -> DataFrame:
     """
     v = _clean(values)
     moments = v.groupBy("model_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("m2"), F.countDistinct("x").alias("k"))
-    centred = v.join(moments.select("model_id", "mean"), "model_id").select("model_id", "id", (F.col("x") - F.col("mean")).alias("z"))
+    centred = checkpointed(v.join(moments.select("model_id", "mean"), "model_id").select("model_id", "id", (F.col("x") - F.col("mean")).alias("z")))
     fourth = centred.groupBy("model_id").agg(F.avg(F.col("z") ** 4).alias("m4"))
     here = centred.select("model_id", F.col("id").alias("from_id"), F.col("z").alias("zi"))
     there = centred.select("model_id", F.col("id").alias("to_id"), F.col("z").alias("zj"))
-    w = row_standardised(edges.join(here, ["model_id", "from_id"], "left_semi").join(there, ["model_id", "to_id"], "left_semi"))
+    w = checkpointed(row_standardised(edges.join(here, ["model_id", "from_id"], "left_semi").join(there, ["model_id", "to_id"], "left_semi")))
     back = w.select("model_id", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.col("w").alias("wr"))
     full = w.join(back, ["model_id", "from_id", "to_id"], "left").join(here, ["model_id", "from_id"]).join(there, ["model_id", "to_id"])
     wr = F.coalesce("wr", F.lit(0.0))

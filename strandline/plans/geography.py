@@ -12,6 +12,7 @@ from strandline.operators import pattern, spatial
 from strandline.operators import sequence as seq
 from strandline.plans import bindings as b
 from strandline.plans.registry import query
+from strandline.session import checkpointed
 
 K, KS, BANDS = 4, (4, 8, 12), (0.1, 0.25, 0.5)
 
@@ -22,7 +23,7 @@ def _knn_sql(k: int, name: str = "") -> str:
 
 
 def _edges(spark, d, k: int = K) -> DataFrame:
-    return nb.symmetric(nb.knn(b.points(spark, d), k))
+    return checkpointed(nb.symmetric(nb.knn(b.points(spark, d), k)))
 
 
 def _model(edges: DataFrame, name: str) -> DataFrame:
