@@ -37,13 +37,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-# Further candidates, which only the classifier can admit.
+# Further candidates, which only the classifier can admit: other ways of writing, and numbers that the base
+# rules lose because another number follows or precedes them.
 _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]{1,63}){1,8}"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ][0-9]{4}(?![0-9-])"),
 }
-_LOOSE_HINT = {"email": re.compile(r"[(\[]at[)\]]"), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]"), "phone": re.compile(r"[0-9][-. )]")}
+_LOOSE_HINT = {"email": re.compile(r"[(\[]at[)\]]"), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": re.compile(r"[0-9]{4}"), "phone": re.compile(r"[0-9][-. )]")}
 
 #: Words that introduce personal data of a kind, and words that speak against it.
 GAZETTEER = {
@@ -110,7 +112,8 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         if _LOOSE_HINT[kind].search(text):
             for m in pattern.finditer(text):
                 i = int(np.searchsorted(starts, m.end())) if starts else 0
-                if not any(b > m.start() for _, b in taken[max(0, i - 4) : i]):
+                free = not any(b > m.start() for _, b in taken[max(0, i - 4) : i])
+                if free and (kind != "card" or luhn(re.sub("[ -]", "", m[0]))):
                     out.append((kind, *m.span()))
     return out
 

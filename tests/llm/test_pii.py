@@ -77,3 +77,23 @@ def test_redact(docs):
     assert clean[4].text is None and clean[6].text == "nothing here"
     assert pii.redact(docs).columns == docs.columns
     assert pii.detect(docs.limit(0)).collect() == []
+
+
+def test_numbers_side_by_side(spark):
+    """The base rules take both numbers for one and drop it; the method finds each."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):
+        card = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card += next(c for c in "0123456789" if luhn(card + c))
+        texts.append(f"see +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} {card} and a{i}@b{i}.example.com or 10.0.{i}.7 now")
+        texts.append(f"card {card} then +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} end")
+    texts.append("build 1234 5678 9012 3456 of 2024-01-02 and 12:34:56, 3.14159, order 100-200-3000 x")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for i in range(0, 120, 2):
+        assert got[i].n_phone == got[i].n_card == 0
+        assert [s.split(":")[0] for s in got[i].spans.split(",")] == ["email", "ip", "card", "phone"]
+        kind, a, b = got[i].spans.split(",")[3].split(":")
+        assert texts[i][int(a) : int(b)].startswith("+1 (") and int(b) - int(a) == 17
+    assert got[120].spans == ""
