@@ -68,6 +68,32 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + term(i))) / 2
 
 
+def representative_point(ring: Column) -> Column:
+    """A point (x, y) inside a ring: its centroid if that is inside, else the middle of the widest part of the line across half its height."""
+    n = F.size(ring)
+    at = lambda i: F.element_at(ring, i)
+    nxt = lambda i: at(F.when(i == n, F.lit(1)).otherwise(i + 1))
+    cross = lambda i: at(i)["x"] * nxt(i)["y"] - nxt(i)["x"] * at(i)["y"]
+    steps = F.sequence(F.lit(1), n)
+    total = lambda term: F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i))
+    area = total(cross)
+    cx, cy = (total(lambda i, a=a: (at(i)[a] + nxt(i)[a]) * cross(i)) / (3 * area) for a in ("x", "y"))
+    ys = F.transform(ring, lambda p: p["y"])
+    y = (F.array_min(ys) + F.array_max(ys)) / 2
+    hits = F.transform(steps, lambda i: F.when((at(i)["y"] > y) != (nxt(i)["y"] > y), (nxt(i)["x"] - at(i)["x"]) * (y - at(i)["y"]) / (nxt(i)["y"] - at(i)["y"]) + at(i)["x"]))
+    xs = F.sort_array(F.filter(hits, lambda h: h.isNotNull()))
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - 1, F.lit(1)), F.lit(2)), lambda k: F.struct((F.try_element_at(xs, k + 1) - F.try_element_at(xs, k)).alias("w"), ((F.try_element_at(xs, k + 1) + F.try_element_at(xs, k)) / 2).alias("x")))
+    inside = F.struct(cx.alias("x"), cy.alias("y"))
+    return F.when((area != 0) & in_ring(cx, cy, ring), inside).otherwise(F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y")))
+
+
+def reject_invalid(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(polygons all of whose rings are valid, counts of rejected ones by code); nothing is repaired."""
+    ok = F.forall(F.col("rings"), valid_ring) & (F.size("rings") > 0)
+    bad = polygons.where(~F.coalesce(ok, F.lit(False)))
+    return polygons.where(ok), bad.groupBy("landform_code").agg(F.count("*").alias("n_rejected"))
+
+
 def valid_ring(ring: Column) -> Column:
     """At least three different corners, none with a null; what else may be wrong is not repaired."""
     return (F.size(F.array_distinct(ring)) >= 3) & ~F.exists(ring, lambda p: p["x"].isNull() | p["y"].isNull())

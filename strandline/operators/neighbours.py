@@ -125,3 +125,11 @@ def nearest_distance(points: DataFrame, others: DataFrame, id_col: str = "point_
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def hausdorff(left: DataFrame, right: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """``(left_to_right, right_to_left, hausdorff)`` of two sets of vertices, and the share of each that meets the other exactly."""
+    a, z = nearest_distance(left, right, id_col), nearest_distance(right, left, id_col)
+    one = a.agg(F.max("d").alias("left_to_right"), F.avg((F.col("d") == 0).cast("int")).alias("left_matched"))
+    two = z.agg(F.max("d").alias("right_to_left"), F.avg((F.col("d") == 0).cast("int")).alias("right_matched"))
+    return one.crossJoin(two).withColumn("hausdorff", F.greatest("left_to_right", "right_to_left"))  # one row each

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import codes, tiles
 from strandline.functions import flags as fl
 from strandline.functions import numeric as num
-from strandline.operators import address, enrich
+from strandline.operators import address, enrich, radiocarbon
 from strandline.plans import bindings as b
 from strandline.plans.registry import query
 
@@ -151,6 +151,14 @@ def sliver_filter(spark, d):
     return both.select("polygon_id", "landform_code", F.round("area", 6).alias("area"), "side")
 
 
+# Only valid rings go on, and each has a point for its label
+@query("polygon_labels", "SELECT i AS polygon_id, round(-0.5::DOUBLE + 0.2::DOUBLE * (i % 5) + 0.125, 6) AS x, round(-0.5::DOUBLE + 0.2::DOUBLE * (i // 5) + 0.1, 6) AS y FROM range(25) t(i)")
+def polygon_labels(spark, d):
+    valid, _ = enrich.reject_invalid(_boxes(spark))
+    p = enrich.representative_point(F.col("rings")[0])
+    return valid.select("polygon_id", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
+
+
 # G17
 @query(
     "bbox_operations",
@@ -257,3 +265,25 @@ def content_hash(spark, d):
 def sessionless_checkpoint_dedupe(spark, d):
     e = b.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     return enrich.keep_last(e, "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+# P5: dates and a curve made of the tables; the published curve is the caller's to supply
+def _dates(spark, d):
+    c = b.table(spark, d, "customer").where("c_custkey % 10 = 1")
+    return c.select(F.col("c_custkey").alias("date_id"), (F.col("c_acctbal") / 4 + 3000).alias("age"), (20 + F.col("c_custkey") % 40).cast("double").alias("error"), F.col("c_nationkey").alias("site"))
+
+
+def _curve(spark):
+    bp = F.col("id") * 5
+    return spark.range(200, 1400).select(bp.cast("double").alias("cal_bp"), (bp * 0.93 + 40 * F.sin(bp / 150)).alias("c14_age"), F.lit(12.0).alias("c14_error"))
+
+
+@query("radiocarbon_summed_density")
+def radiocarbon_summed_density(spark, d):
+    dates = _dates(spark, d)
+    return radiocarbon.summed(radiocarbon.calibrate(dates, _curve(spark)), radiocarbon.bins(dates))
+
+
+@query("radiocarbon_intervals")
+def radiocarbon_intervals(spark, d):
+    return radiocarbon.highest_density(radiocarbon.calibrate(_dates(spark, d), _curve(spark)))

@@ -251,6 +251,18 @@ def nearest_distance(spark, d):
     return nb.nearest_distance(p.where("label = 0"), p.where("label = 1")).withColumn("d", F.round("d", 6))
 
 
+# Vertex comparison of two outlines
+@query(
+    "vertex_hausdorff",
+    f"""WITH {b.SQL_POINT}, m AS (SELECT a.point_id AS i, z.point_id AS j, sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS d FROM point a JOIN point z ON a.label <= 4 AND z.label >= 4), l AS (SELECT i, min(d) AS d FROM m GROUP BY 1), r AS (SELECT j, min(d) AS d FROM m GROUP BY 1)
+    SELECT round((SELECT max(d) FROM l), 6) AS left_to_right, round((SELECT avg((d = 0)::INT) FROM l), 6) AS left_matched, round((SELECT max(d) FROM r), 6) AS right_to_left, round((SELECT avg((d = 0)::INT) FROM r), 6) AS right_matched, round(greatest((SELECT max(d) FROM l), (SELECT max(d) FROM r)), 6) AS hausdorff""",
+)
+def vertex_hausdorff(spark, d):
+    p = b.points(spark, d)
+    found = nb.hausdorff(p.where("label <= 4"), p.where("label >= 4"))
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
 # J11
 @query("grid_cell_count", f"WITH {b.SQL_POINT} SELECT floor(x / 0.2)::BIGINT AS gx, floor(y / 0.2)::BIGINT AS gy, count(*) AS n, count(DISTINCT label) AS n_labels FROM point GROUP BY 1, 2")
 def grid_cell_count(spark, d):

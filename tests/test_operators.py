@@ -272,3 +272,34 @@ def test_recovery(spark):
     labels = spark.createDataFrame([("x", i, c) for i, c in enumerate("bcdz")] + [("y", 0, "q")], "block string, place int, label string")
     expected = spark.createDataFrame([("u", i, c) for i, c in enumerate("abcde")], "unit string, place int, label string")
     assert [(r.block, r.unit, r.share) for r in recover.assign_windows(labels, expected, 0.7).collect()] == [("x", "u", 0.75)]
+
+
+def test_representative_points_and_rejects(spark):
+    u = ring((0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3))
+    rows = [(1, [u], "a"), (2, [ring((0, 0), (2, 0), (2, 2), (0, 2))], "a"), (3, [ring((0, 0), (1, 1))], "a"), (4, [], "b")]
+    polygons = spark.createDataFrame(rows, "polygon_id int, rings array<array<struct<x:double,y:double>>>, landform_code string")
+    valid, rejected = enrich.reject_invalid(polygons)
+    got = {r.polygon_id: (r.p.x, r.p.y, r.ok) for r in valid.select("polygon_id", enrich.representative_point(F.col("rings")[0]).alias("p"), F.col("rings")[0].alias("r")).select("polygon_id", "p", enrich.in_ring(F.col("p.x"), F.col("p.y"), F.col("r")).alias("ok")).collect()}
+    assert set(got) == {1, 2} and all(v[2] for v in got.values()) and got[2][:2] == (1.0, 1.0)
+    assert {r.landform_code: r.n_rejected for r in rejected.collect()} == {"a": 1, "b": 1}
+
+
+def test_radiocarbon(spark):
+    from strandline.operators import radiocarbon as rc
+
+    curve = spark.createDataFrame([(float(y), float(y), 0.0) for y in range(2000, 4001, 5)], "cal_bp double, c14_age double, c14_error double")
+    dates = spark.createDataFrame([(1, 3000.0, 30.0, "s"), (2, 3050.0, 30.0, "s"), (3, 3500.0, 30.0, "s")], "date_id int, age double, error double, site string")
+    cal = rc.calibrate(dates, curve)
+    sums = {r.date_id: (r.s, r.m) for r in cal.groupBy("date_id").agg(F.sum("density").alias("s"), F.sum(F.col("density") * F.col("cal_bp")).alias("m")).collect()}
+    assert sums[1][0] == pytest.approx(1) and sums[1][1] == pytest.approx(3000, abs=0.5)
+    spans = {r.date_id: r for r in rc.highest_density(cal).collect()}
+    assert spans[1].from_bp - spans[1].to_bp == pytest.approx(120, abs=10) and spans[1].probability >= 0.954
+    binned = rc.bins(dates)
+    assert {r.date_id: r.bin for r in binned.collect()} == {1: "s_1", 2: "s_1", 3: "s_2"}
+    assert rc.summed(cal, binned).agg(F.sum("density")).first()[0] == pytest.approx(2)
+
+
+def test_hausdorff(spark):
+    make = lambda rows: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)], "point_id long, x double, y double")
+    r = nb.hausdorff(make([(0, 0), (1, 0), (5, 0)]), make([(0, 0), (1, 1)])).first()
+    assert r.left_to_right == pytest.approx(math.hypot(4, 1)) and r.right_to_left == 1 and r.left_matched == pytest.approx(1 / 3)
