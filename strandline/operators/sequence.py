@@ -28,13 +28,13 @@ CLASSES = ("no_presence", "single_phase", "continuous_2phase", "continuous_3_4ph
 def states(facts: DataFrame, keys: list[str], phase_order: str, state: Column, n: int = len(PHASES)) -> DataFrame:
     """``(*keys, states)`` from facts with a phase order from 1 to ``n``.
 
-    ``state`` is an aggregate of the facts of one phase, such as ``max(flag)``; it is
-    evaluated for each phase by a filter.  Phases without facts give 0.
+    ``state`` is the state that a fact speaks for, 1, 0 or null; the largest of a
+    phase counts, and null where all are null.  Phases without facts give 0.
+    One aggregation, combined on the map side.
     """
-    per_phase = facts.groupBy(*keys, phase_order).agg(state.alias("__state"))
-    cell = F.struct(F.lit(1).alias("seen"), F.col("__state").cast("int").alias("state"))
-    cells = per_phase.groupBy(*keys).agg(*[F.max(F.when(F.col(phase_order) == i, cell)).alias(f"__{i}") for i in range(1, n + 1)])
-    return cells.select(*keys, F.array(*[F.when(F.col(f"__{i}.seen") == 1, F.col(f"__{i}.state")).otherwise(0) for i in range(1, n + 1)]).alias("states"))
+    here = lambda i, v: F.max(F.when(F.col(phase_order) == i, v))
+    cells = facts.groupBy(*keys).agg(*[here(i, F.lit(1)).alias(f"__seen{i}") for i in range(1, n + 1)], *[here(i, state).alias(f"__state{i}") for i in range(1, n + 1)])
+    return cells.select(*keys, F.array(*[F.when(F.col(f"__seen{i}") == 1, F.col(f"__state{i}").cast("int")).otherwise(0) for i in range(1, n + 1)]).alias("states"))
 
 
 def flag_states(facts: DataFrame, keys: list[str], phase_order: str, flag: Column, n: int = len(PHASES)) -> DataFrame:

@@ -16,17 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.numeric import normal_upper
-from strandline.functions.stats import bh, zscore
+from strandline.functions.stats import with_bh
 from strandline.operators.components import connected_components
 from strandline.session import checkpointed
 
 DRAWS, SEED, ALPHA = 999, 20260809, 0.05
 #: Most values of a model that local permutation draws from; beyond it they are an even, seeded sample of them.
-POOL = 1_000_000
+POOL = 10_000
+#: Points of a model that one task tests.
+PART = 50_000
 
 
 def _clean(values: DataFrame) -> DataFrame:
@@ -75,11 +77,12 @@ def global_moran(edges: DataFrame, values: DataFrame) -> DataFrame:
 def local_moran(edges: DataFrame, values: DataFrame) -> DataFrame:
     """``(model_id, id, x, z, lag, local_i, quadrant)``: standard score, mean of neighbours' scores, local I, and HH / LL / HL / LH."""
     v = _clean(values)
-    scored = v.withColumn("z", zscore("x", "model_id"))
+    moments = v.groupBy("model_id").agg(F.count("*").alias("__n"), F.avg("x").alias("__m"), F.stddev_samp("x").alias("__sd"))
+    z = F.when(F.col("__sd") > 0, (F.col("x") - F.col("__m")) / F.col("__sd")).otherwise(0.0)
+    scored = v.join(moments, "model_id").select("model_id", "id", "x", z.alias("z"), "__n")
     there = scored.select("model_id", F.col("id").alias("to_id"), F.col("z").alias("zj"))
     lag = edges.join(there, ["model_id", "to_id"]).groupBy("model_id", F.col("from_id").alias("id")).agg(F.avg("zj").alias("lag"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("model_id"))
-    joined = scored.withColumn("__n", n).join(lag, ["model_id", "id"], "left").withColumn("lag", F.coalesce("lag", F.lit(0.0)))
+    joined = scored.join(lag, ["model_id", "id"], "left").withColumn("lag", F.coalesce("lag", F.lit(0.0)))
     quadrant = F.when((F.col("z") > 0) & (F.col("lag") > 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when((F.col("z") > 0) & (F.col("lag") < 0), "HL").when((F.col("z") < 0) & (F.col("lag") > 0), "LH").otherwise("undefined")
     # z uses the sample deviation; the second moment of I is over n
     return joined.select("model_id", "id", "x", "z", "lag", (F.col("z") * F.col("lag") * F.col("__n") / (F.col("__n") - 1)).alias("local_i"), quadrant.alias("quadrant"))
@@ -144,24 +147,26 @@ def binary_permutation(edges: DataFrame, events: DataFrame, draws: int = DRAWS,
 
     tested = rows.select("model_id", "id", "x", "n_neighbours", "__n", "__e", "__near").mapInPandas(run, f"model_id {model}, id {kind}, p_join double, p_g double")
     tested = tested.select("model_id", "id", F.nanvl("p_join", F.lit(None)).alias("p_join"), F.nanvl("p_g", F.lit(None)).alias("p_g"))
-    out = joined.join(tested, ["model_id", "id"]).withColumns({"p_join_bh": bh("p_join", "model_id"), "p_g_bh": bh("p_g", "model_id")})
+    out = with_bh(with_bh(joined.join(tested, ["model_id", "id"]), "p_join", "p_join_bh", "model_id"), "p_g", "p_g_bh", "model_id")
     class_join = F.when(F.col("x") == 0, "non_event").when(F.col("p_join_bh").isNull(), "event_not_tested").when(F.col("p_join_bh") <= ALPHA, "event_cluster").otherwise("event_not_significant")
     class_g = F.when(F.col("p_g_bh").isNull(), "not_tested").when((F.col("p_g_bh") <= ALPHA) & (F.col("g_z") > 0), "event_hotspot").when((F.col("p_g_bh") <= ALPHA) & (F.col("g_z") < 0), "event_coldspot").otherwise("not_significant")
     return out.select("model_id", "id", "x", "bb", "p_join", "p_join_bh", "g_z", "p_g", "p_g_bh", class_join.alias("class_join"), class_g.alias("class_g"))
 
 
-def lisa_permutation(edges: DataFrame, values: DataFrame, draws: int = DRAWS, seed: int = SEED, pool: int = POOL) -> DataFrame:
+def lisa_permutation(edges: DataFrame, values: DataFrame, draws: int = DRAWS, seed: int = SEED, pool: int = POOL, part: int = PART) -> DataFrame:
     """``local_moran`` with conditional permutation p (two-sided), BH, and the class of significant points.
 
-    Each model is one task that holds at most ``pool`` of its values to draw from;
-    a model with more draws from an even sample of that size.
+    A model's points are dealt into tasks of about ``part``; each has the ``pool``
+    values to draw from, all of the model's values if it has no more.
     """
-    base = local_moran(edges, values)
+    base = checkpointed(local_moran(edges, values))
     k = edges.groupBy("model_id", F.col("from_id").alias("id")).agg(F.count("*").alias("k"))
-    rows = base.join(k, ["model_id", "id"], "left").select(*base.columns, F.coalesce("k", F.lit(0)).alias("k"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("model_id"))
+    n = base.groupBy("model_id").agg(F.count("*").alias("__n"))
+    parts = F.ceil(F.col("__n") / part).cast("int")
+    sized = base.select("model_id", "id", "z", "lag").join(n, "model_id")
+    rows = sized.join(k, ["model_id", "id"], "left").select("model_id", "id", "z", "lag", F.coalesce("k", F.lit(0)).alias("k"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("__part"))
     place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn_from = rows.select(F.col("model_id").alias("__model"), F.col("z").alias("__z"), n.alias("__n"), place.alias("__p")).where(F.col("__p") * F.col("__n") < pool)
+    drawn_from = sized.where(place * F.col("__n") < pool).select(F.col("model_id").alias("__model"), F.col("z").alias("__z"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__to"))
     kind, model = rows.schema["id"].dataType.simpleString(), rows.schema["model_id"].dataType.simpleString()
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -177,8 +182,9 @@ def lisa_permutation(edges: DataFrame, values: DataFrame, draws: int = DRAWS, se
                 p[i] = min(1.0, 2 * (1 + min((sums >= own).sum(), (sums <= own).sum())) / (draws + 1))
         return pd.DataFrame({"model_id": key[0], "id": left["id"], "p_raw": p})
 
-    tested = rows.groupBy("model_id").cogroup(drawn_from.groupBy("__model")).applyInPandas(run, f"model_id {model}, id {kind}, p_raw double")
-    out = base.join(tested.withColumn("p_raw", F.nanvl("p_raw", F.lit(None))), ["model_id", "id"]).withColumn("p_bh", bh("p_raw", "model_id"))
+    tested = rows.groupBy("model_id", "__part").cogroup(drawn_from.groupBy("__model", "__to")).applyInPandas(run, f"model_id {model}, id {kind}, p_raw double")
+    known = tested.select("model_id", "id", F.nanvl("p_raw", F.lit(None)).alias("p_raw"))
+    out = with_bh(base.join(known, ["model_id", "id"]), "p_raw", "p_bh", "model_id")
     return out.withColumn("lisa_class", F.when(F.col("p_bh").isNull(), "not_tested").when(F.col("p_bh") <= ALPHA, F.col("quadrant")).otherwise("not_significant"))
 
 
@@ -202,5 +208,5 @@ def areas(edges: DataFrame, classed: DataFrame, wanted: str, least: int = 20) ->
     inside = edges.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(own.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     found = connected_components(inside.select("from_id", "to_id"), "from_id", "to_id")
     named = own.join(found, own.id == found.node, "left").select("id", F.coalesce("root", "id").alias("area_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("area_id"))
-    return named.select("id", "area_id", n.alias("n_points"), (n >= least).alias("named"))
+    sizes = named.groupBy("area_id").agg(F.count("*").alias("n_points"))
+    return named.join(sizes, "area_id").select("id", "area_id", "n_points", (F.col("n_points") >= least).alias("named"))

@@ -52,7 +52,7 @@ def place_states(spark: SparkSession, sf_dir: str, any_order: bool = False) -> D
 def domain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(place_id, activity_domain, states): 1 with an order not of status P, null with such orders only, else 0."""
     facts = order_facts(spark, sf_dir)
-    found = seq.states(facts, ["place_id", "activity_domain"], "phase_order", F.max(F.when(F.col("o_orderstatus") != "P", 1)))
+    found = seq.states(facts, ["place_id", "activity_domain"], "phase_order", F.when(F.col("o_orderstatus") != "P", 1))
     domains = facts.select("activity_domain").distinct()  # the five priorities
     grid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place_id")).crossJoin(F.broadcast(domains))
     absent = F.array(*[F.lit(0)] * len(seq.PHASES))

@@ -479,7 +479,7 @@ def retention_rate(spark, d):
 def bh_adjust(spark, d):
     t = b.table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.avg("p_size").alias("m"), F.sum("p_size").alias("s"))
     p = F.when(F.col("m") > 25, F.round(1 / (1 + F.col("n")), 6)).when(F.col("n") > 1, F.round(1 / (2 + F.col("s")), 6))
-    return t.select("p_brand", "p_type", p.alias("p")).select("p_brand", "p_type", "p", F.round(stats.bh("p", "p_brand"), 6).alias("p_bh"))
+    return stats.with_bh(t.select("p_brand", "p_type", p.alias("p")), "p", "p_bh", "p_brand").withColumn("p_bh", F.round("p_bh", 6))
 
 
 # W14

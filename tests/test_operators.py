@@ -35,6 +35,8 @@ def test_bh_ignores_nulls_and_takes_ties(spark):
         low = min(low, v * len(known) / rank)
         want[i] = low
     assert got == {i: None if v is None else pytest.approx(v) for i, v in want.items()}
+    large = stats.with_bh(spark.createDataFrame([(*r, "g") for r in enumerate(p)], "i int, p double, g string"), "p", "q", "g").collect()
+    assert {r.i: r.q for r in large} == got
 
 
 def test_flags(spark):
