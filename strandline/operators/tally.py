@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.flags import poisoned_sum
+from strandline.session import checkpointed
 
 
 def require_columns(frame: DataFrame, *names: str) -> DataFrame:
@@ -81,6 +82,20 @@ def set_compare(found: DataFrame, sample: DataFrame, key: str) -> DataFrame:
     return a.join(s, key, "outer").select(key, side.alias("side"))
 
 
+def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``frame`` with ``name``: places from 1 in a total order, without gathering the rows.
+
+    Rows are dealt by ranges of the order and numbered within them; the counts of the
+    ranges give each its start.
+    """
+    dealt = checkpointed(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__own", inside).join(starts, "__range").withColumn(name, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
 def completeness(frame: DataFrame, columns: list[str]) -> DataFrame:
     """``(field, n_known, n_rows, share_known)`` of each column; blank text is not known."""
     known = [F.count(F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))).alias(c) for c in columns]

@@ -256,7 +256,7 @@ def semi_filter(spark, d):
 def dup_coordinate_groups(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 1).alias("x"), F.round(F.col("embedding")[1].cast("double"), 1).alias("y"))
     groups = e.groupBy("x", "y").agg(F.count("*").alias("n"))
-    ids = groups.withColumn("k", F.dense_rank().over(Window.orderBy("x", "y")))
+    ids = tally.numbered(groups, [F.col("x"), F.col("y")], "k")
     return e.join(ids, ["x", "y"]).select("vec_id", F.concat(F.lit("CG"), F.lpad(F.col("k").cast("string"), 5, "0")).alias("coordinate_group"), F.col("n").alias("n_in_group"), (F.col("n") > 1).alias("duplicated"))
 
 
@@ -295,7 +295,7 @@ def natural_order(spark, d):
     from strandline.functions.codes import site_sort_key
 
     s = table(spark, d, "supplier").select(F.concat_ws("-", F.col("s_suppkey") % 17, "s_nationkey").alias("label")).distinct()
-    return s.select("label", F.row_number().over(Window.orderBy(*site_sort_key(F.col("label")))).alias("place"))
+    return tally.numbered(s, site_sort_key(F.col("label")), "place")
 
 
 @query("top_units_preview", "SELECT c_custkey, n FROM (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5) ORDER BY n DESC, c_custkey LIMIT 30")

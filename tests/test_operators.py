@@ -103,6 +103,13 @@ def test_tally(spark):
     assert (gaps.largest, gaps.n_found) == (5, 3) and [(s["first"], s["last"]) for s in gaps.missing_spans] == [(3, 4)]
 
 
+def test_numbered(spark):
+    rows = list(range(500))
+    random.Random(1).shuffle(rows)
+    got = tally.numbered(spark.createDataFrame([(i,) for i in rows], "i int").repartition(5), [F.col("i").desc()], "n").collect()
+    assert all(r.n == 500 - r.i for r in got) and len(got) == 500
+
+
 def test_address(spark):
     names = spark.createDataFrame([("1", "本町"), ("1", "本町二丁目"), ("1", "南"), ("2", "西")], "area string, name string")
     aliases = spark.createDataFrame([("1", "旧町", "南")], "area string, old_name string, name string")
