@@ -6,6 +6,8 @@ of a 5 x 5 grid over the points stand for polygons, parts for addresses.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from strandline.functions import codes, tiles
@@ -76,7 +78,22 @@ def web_mercator(spark, d):
     return _globe(spark, d).select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("plane_coordinates")
+def _plane_sql() -> str:
+    f = tiles.GRS80_F
+    n = f / (2 - f)
+    e = 2 * math.sqrt(n) / (1 + n)
+    a = tiles.GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * tiles.IX_SCALE
+    al = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    s0 = math.sin(math.radians(tiles.IX_LAT))
+    xi0 = math.atan(math.sinh(math.atanh(s0) - e * math.atanh(e * s0)))
+    north0 = a * (xi0 + sum(c * math.sin(2 * j * xi0) for j, c in enumerate(al, 1)))
+    east = "eta" + "".join(f" + {c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(al, 1))
+    north = "xi" + "".join(f" + {c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(al, 1))
+    return f"""WITH {_GLOBE}, s AS (SELECT vec_id, radians(lon - {tiles.IX_LON!r}::DOUBLE) AS dl, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM g),
+    u AS (SELECT vec_id, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM s) SELECT vec_id, round({a!r}::DOUBLE * ({east}), 3) AS x, round({a!r}::DOUBLE * ({north}) - {north0!r}::DOUBLE, 3) AS y FROM u"""
+
+
+@query("plane_coordinates", _plane_sql())
 def plane_coordinates(spark, d):
     x, y = tiles.transverse_mercator(F.col("lon"), F.col("lat"))
     return _globe(spark, d).select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
@@ -135,12 +152,16 @@ def label_polygons(spark, d):
 
 
 # G12, G13, A21, G9
-@query("raster_overlay")
+@query(
+    "raster_overlay",
+    f"""{_BOX}, c AS (SELECT r.i AS row, k.i AS col FROM range(-10, 12) r(i) CROSS JOIN range(-10, 12) k(i)), o AS (SELECT row, col, min(polygon_id) * 1000 + min(polygon_id % 5) AS value FROM c JOIN bx ON (col + 0.5) * 0.05::DOUBLE > x0 AND (col + 0.5) * 0.05::DOUBLE < x1 AND (row + 0.5) * 0.05::DOUBLE > y0 AND (row + 0.5) * 0.05::DOUBLE < y1 GROUP BY ALL)
+    SELECT value, count(*) AS n_cells, round(count(*) * 0.0025::DOUBLE, 6) AS area, string_agg(DISTINCT 'tile' || (row % 2), ';' ORDER BY 'tile' || (row % 2)) AS sources FROM o GROUP BY 1""",
+)
 def raster_overlay(spark, d):
     basins = enrich.rasterise(_boxes(spark), 0.05)
     classes = enrich.rasterise(_boxes(spark).withColumn("polygon_id", F.col("polygon_id") % 5), 0.05)
     combined = enrich.combine_rasters(basins, classes).withColumn("source", F.concat(F.lit("tile"), F.col("row") % 2))
-    return enrich.dissolve(combined, "value", 0.05)
+    return enrich.dissolve(combined, "value", 0.05).withColumn("area", F.round("area", 6))
 
 
 # G11
@@ -278,10 +299,18 @@ def _curve(spark):
     return spark.range(200, 1400).select(bp.cast("double").alias("cal_bp"), (bp * 0.93 + 40 * F.sin(bp / 150)).alias("c14_age"), F.lit(12.0).alias("c14_error"))
 
 
-@query("radiocarbon_summed_density")
+@query(
+    "radiocarbon_summed_density",
+    """WITH d AS (SELECT c_custkey AS date_id, c_acctbal / 4 + 3000 AS age, (20 + c_custkey % 40)::DOUBLE AS error, c_nationkey AS site FROM customer WHERE c_custkey % 10 = 1), cu AS (SELECT (i * 5)::DOUBLE AS bp, i * 5 * 0.93::DOUBLE + 40 * sin(i * 5 / 150::DOUBLE) AS c14 FROM range(200, 1400) t(i)),
+    raw AS (SELECT date_id, bp, exp(-(c14 - age) * (c14 - age) / (2 * (error * error + 144))) / sqrt(2 * pi() * (error * error + 144)) AS p FROM d JOIN cu ON floor(c14 / 100) BETWEEN floor((age - 6 * sqrt(error * error + 144)) / 100) AND floor((age + 6 * sqrt(error * error + 144)) / 100)),
+    cal AS (SELECT date_id, bp, p / sum(p) OVER (PARTITION BY date_id) AS density FROM raw WHERE p > 1e-12), st AS (SELECT *, coalesce((age - lag(age) OVER (PARTITION BY site ORDER BY age, date_id) > 100)::INT, 0) AS new FROM d),
+    bn AS (SELECT date_id, site || '_' || sum(new) OVER (PARTITION BY site ORDER BY age, date_id) AS bin FROM st), sz AS (SELECT bin, count(*) AS n FROM bn GROUP BY 1), tot AS (SELECT bp, sum(density / n) AS density FROM cal JOIN bn USING (date_id) JOIN sz USING (bin) GROUP BY 1)
+    SELECT bp AS cal_bp, round(density, 7) AS density, round(avg(density) OVER (ORDER BY bp RANGE BETWEEN 250 PRECEDING AND 250 FOLLOWING), 7) AS running_mean FROM tot""",
+)
 def radiocarbon_summed_density(spark, d):
     dates = _dates(spark, d)
-    return radiocarbon.summed(radiocarbon.calibrate(dates, _curve(spark)), radiocarbon.bins(dates))
+    found = radiocarbon.summed(radiocarbon.calibrate(dates, _curve(spark)), radiocarbon.bins(dates))
+    return found.withColumns({"density": F.round("density", 7), "running_mean": F.round("running_mean", 7)})
 
 
 @query("radiocarbon_intervals")

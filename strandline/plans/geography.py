@@ -17,8 +17,8 @@ from strandline.session import checkpointed
 K, KS, BANDS = 4, (4, 8, 12), (0.1, 0.25, 0.5)
 
 
-def _knn_sql(k: int, name: str = "") -> str:
-    return f"""d{name} AS (SELECT a.point_id AS from_id, z.point_id AS to_id, sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY (z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y), z.point_id) AS rank FROM point a JOIN point z ON a.point_id <> z.point_id),
+def _knn_sql(k: int, name: str = "", table: str = "point") -> str:
+    return f"""d{name} AS (SELECT a.point_id AS from_id, z.point_id AS to_id, sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY (z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y), z.point_id) AS rank FROM {table} a JOIN {table} z ON a.point_id <> z.point_id),
     near{name} AS (SELECT * FROM d{name} WHERE rank <= {k}), edge{name} AS (SELECT from_id, to_id, min(d) AS d FROM (SELECT from_id, to_id, d FROM near{name} UNION ALL SELECT to_id, from_id, d FROM near{name}) GROUP BY 1, 2)"""
 
 
@@ -98,12 +98,16 @@ def global_moran(spark, d):
     return _moran(*_metric_models(spark, d, _edges(spark, d)))
 
 
-@query("moran_by_k")
+@query(
+    "moran_by_k",
+    f"WITH {b.SQL_POINT}, {', '.join(_knn_sql(k, str(k)) for k in KS)}, "
+    + _moran_sql(" UNION ALL ".join(f"SELECT 'k{k}' AS model_id, from_id, to_id FROM edge{k}" for k in KS), " UNION ALL ".join(f"SELECT 'k{k}' AS model_id, point_id AS id, label AS x FROM point" for k in KS)),
+)
 def moran_by_k(spark, d):
     p = b.points(spark, d)
     edges = reduce(DataFrame.unionByName, [_model(_edges(spark, d, k), f"k{k}") for k in KS])
     values = reduce(DataFrame.unionByName, [p.select(F.lit(f"k{k}").alias("model_id"), F.col("point_id").alias("id"), F.col("label").alias("x")) for k in KS])
-    return spatial.global_moran(edges, values)
+    return _moran(edges, values)
 
 
 @query(
@@ -123,17 +127,29 @@ def _active(spark, d):
     return t.join(p, t.place_id == p.point_id).select("phase_pair", F.col("point_id").alias("id"), "x", "y", "transition")
 
 
-@query("active_universe_moran")
+_TWO = ("Pa->Jo", "He->Me")
+_EVENTS = ("continue", "drop", "new")
+
+
+@query(
+    "active_universe_moran",
+    f"""WITH {b.SQL_PRESENCE}, {b.SQL_POINT}, tr AS (SELECT a.place_id, a.phase_code || '->' || z.phase_code AS pair, CASE WHEN a.presence = 1 AND z.presence = 1 THEN 'continue' WHEN a.presence = 1 THEN 'drop' ELSE 'new' END AS event FROM presence a JOIN presence z ON z.place_id = a.place_id AND z.phase_order = a.phase_order + 1 WHERE a.presence + z.presence > 0),
+    {', '.join(f"point{i} AS (SELECT point.*, event FROM point JOIN tr ON place_id = point_id WHERE pair = '{p}'), {_knn_sql(K, str(i), f'point{i}')}" for i, p in enumerate(_TWO))}, """
+    + _moran_sql(
+        " UNION ALL ".join(f"SELECT '{p}|{e}' AS model_id, from_id, to_id FROM edge{i}" for i, p in enumerate(_TWO) for e in _EVENTS),
+        " UNION ALL ".join(f"SELECT '{p}|{e}' AS model_id, point_id AS id, (event = '{e}')::INT AS x FROM point{i}" for i, p in enumerate(_TWO) for e in _EVENTS),
+    ),
+)
 def active_universe_moran(spark, d):
-    active = _active(spark, d).where("phase_pair IN ('Pa->Jo', 'He->Me')")
+    active = _active(spark, d).where(F.col("phase_pair").isin(*_TWO))
     models, values = [], []
-    for pair in ("Pa->Jo", "He->Me"):
+    for pair in _TWO:
         own = active.where(F.col("phase_pair") == pair)
         edges = nb.symmetric(nb.knn(own, K, "id"))
-        for event in ("continue", "drop", "new"):
+        for event in _EVENTS:
             models.append(_model(edges, f"{pair}|{event}"))
             values.append(own.select(F.lit(f"{pair}|{event}").alias("model_id"), "id", (F.col("transition") == event).cast("int").alias("x")))
-    return spatial.global_moran(reduce(DataFrame.unionByName, models), reduce(DataFrame.unionByName, values))
+    return _moran(reduce(DataFrame.unionByName, models), reduce(DataFrame.unionByName, values))
 
 
 def _label_events(spark, d):
@@ -221,14 +237,18 @@ def gstar_wide(spark, d):
 
 
 # Sensitivity to merging points of a cell
-@query("aggregation_sensitivity")
+@query(
+    "aggregation_sensitivity",
+    f"WITH {b.SQL_POINT}, merged AS (SELECT min(point_id) AS point_id, round(x, 1) AS x, round(y, 1) AS y, avg(label) AS label FROM point GROUP BY round(x, 1), round(y, 1)), {_knn_sql(K, '1')}, {_knn_sql(K, '2', 'merged')}, "
+    + _moran_sql("SELECT 'all_points' AS model_id, from_id, to_id FROM edge1 UNION ALL SELECT 'merged', from_id, to_id FROM edge2", "SELECT 'all_points' AS model_id, point_id AS id, label::DOUBLE AS x FROM point UNION ALL SELECT 'merged', point_id, label FROM merged"),
+)
 def aggregation_sensitivity(spark, d):
     p = b.points(spark, d)
     merged = p.groupBy(F.round("x", 1).alias("gx"), F.round("y", 1).alias("gy")).agg(F.min("point_id").alias("point_id"), F.avg("label").alias("label")).select("point_id", F.col("gx").alias("x"), F.col("gy").alias("y"), "label")
     parts = []
     for name, frame in (("all_points", p), ("merged", merged)):
         edges = _model(nb.symmetric(nb.knn(frame, K)), name)
-        parts.append(spatial.global_moran(edges, frame.select(F.lit(name).alias("model_id"), F.col("point_id").alias("id"), F.col("label").alias("x"))))
+        parts.append(_moran(edges, frame.select(F.lit(name).alias("model_id"), F.col("point_id").alias("id"), F.col("label").alias("x"))))
     return parts[0].unionByName(parts[1])
 
 

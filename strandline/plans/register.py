@@ -111,11 +111,19 @@ def attempt_log(spark, d):
 
 
 # K12
-@query("retry_points")
+_OFFSETS = [(f"offset_{m}_{n}", m * e, m * u) for m in (5, 10, 20) for n, e, u in (("E", 1, 0), ("W", -1, 0), ("N", 0, 1), ("S", 0, -1))]
+
+
+@query(
+    "retry_points",
+    "WITH g AS (SELECT vec_id AS id, 139.5::DOUBLE + embedding[1]::DOUBLE AS lon, 35.5::DOUBLE + embedding[2]::DOUBLE AS lat FROM embeddings) "
+    + " UNION ALL ".join(f"SELECT id, 'segment_{f}' AS method, round((lon + 0.001) - 0.001 * {f}, 8) AS lon, round((lat - 0.002) + 0.002 * {f}, 8) AS lat FROM g" for f in (0.25, 0.5, 0.75))
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT id, '{m}', round(lon + {e} / 111320.0::DOUBLE / cos(radians(lat)), 8), round(lat + {u} / 111320.0::DOUBLE, 8) FROM g" for m, e, u in _OFFSETS),
+)
 def retry_points(spark, d):
     e = b.table(spark, d, "embeddings")
     lon, lat = F.col("embedding")[0].cast("double") + 139.5, F.col("embedding")[1].cast("double") + 35.5
-    return recover.retry_points(e.select(F.col("vec_id").alias("id"), lon.alias("lon"), lat.alias("lat"), (lon + 0.001).alias("proxy_lon"), (lat - 0.002).alias("proxy_lat")))
+    return recover.retry_points(e.select(F.col("vec_id").alias("id"), lon.alias("lon"), lat.alias("lat"), (lon + 0.001).alias("proxy_lon"), (lat - 0.002).alias("proxy_lat"))).withColumns({"lon": F.round("lon", 8), "lat": F.round("lat", 8)})
 
 
 # K13
@@ -130,7 +138,12 @@ def validated_table(spark, d):
 
 
 # K18
-@query("window_assignment")
+@query(
+    "window_assignment",
+    """WITH p AS (SELECT p_partkey // 20 AS unit, p_partkey % 20 AS place, p_type || '/' || p_brand AS label FROM part), l AS (SELECT unit AS block, place - 5 AS p, label FROM p WHERE place BETWEEN 5 AND 14),
+    h AS (SELECT block, unit, place - l.p AS shift, count(DISTINCT l.p) AS hits FROM l JOIN p USING (label) GROUP BY ALL), n AS (SELECT block, count(DISTINCT p) AS n FROM l GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY hits DESC, unit, shift) AS k FROM h) SELECT block, unit, hits / n::DOUBLE AS share FROM r JOIN n USING (block) WHERE k = 1 AND hits / n::DOUBLE >= 0.9""",
+)
 def window_assignment(spark, d):
     p = b.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("unit"), (F.col("p_partkey") % 20).alias("place"), F.concat_ws("/", "p_type", "p_brand").alias("label"))
     blocks = p.where("place BETWEEN 5 AND 14").select(F.col("unit").alias("block"), (F.col("place") - 5).alias("place"), "label")
