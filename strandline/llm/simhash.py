@@ -10,12 +10,19 @@ fingerprints is never gathered: its members move on to buckets under a further
 covering of the bits that the first mask left free.  After three coverings at most
 eight bits are free, so the third level holds no bucket over 2**8 members and the
 search is exact at any size.
+
+Three bits of 64 mean nearly equal texts: a few changed words among some hundred move
+more.  To find texts that share four fifths of their shingles of five words, a stage
+adds word prints: independent fingerprints over the different words of a text, which
+an edit moves much less.  Print by print they go through the same covering; a link
+also needs fingerprints of shingles that are close, so that texts which merely use the
+same words stay apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
@@ -31,6 +38,10 @@ from strandline.session import checkpointed
 BITS, RADIUS, LEVELS = 64, 3, 3
 #: Most different fingerprints that a bucket compares directly.
 BUCKET = 2048
+#: Word prints of a text, and the most bits by which the fingerprints of two texts that these link differ.
+SLOTS, NEAR = 6, 14
+#: Most members of a bucket of word prints compared as one; only texts of nearly the same words in other orders come to it.
+HELD = 65536
 #: Bytes of a text held as separate words at a time.
 PIECE = 1 << 20
 
@@ -51,6 +62,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lru_cache(maxsize=8)
 def _refinements(level: int) -> list[tuple[int, int]]:
     """(mask, finer mask) pairs that lead from ``level`` to the next one."""
     masks = {0}
@@ -88,15 +100,37 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, fp)``, a row for each input row; ``fp`` is the fingerprint as a signed long."""
+def word_prints(text: bytes, slots: int) -> np.ndarray:
+    """``slots`` independent fingerprints over the different words of a text, each word once."""
+    words = {w for part in words_of(text.lower()) for w in part}
+    if not words:
+        return np.zeros(slots, np.uint64)
+    hashes = np.array(sorted(xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64)
+    out = np.zeros(slots, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(slots):
+            z = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i + 1)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z = z ^ (z >> np.uint64(31))
+            counts = np.bincount((z.view(np.uint8).reshape(-1, 8) + _BYTE_PLACE).ravel(), minlength=2048).reshape(8, 256)
+            ones = (counts @ _BIT_OF_BYTE).ravel()
+            out[i] = np.packbits(2 * ones > len(z), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, slots: int = 0) -> DataFrame:
+    """``(id, fp, s0, s1, ...)``, a row for each input row: the fingerprint and ``slots`` word prints as signed longs."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        fps = np.fromiter((simhash(t, width) for t in raw(batch.column(1))), np.uint64, batch.num_rows)
-        return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
+        texts = raw(batch.column(1))
+        fps = np.fromiter((simhash(t, width) for t in texts), np.uint64, batch.num_rows)
+        prints = np.stack([word_prints(t, slots) for t in texts]) if slots else np.zeros((len(texts), 0), np.uint64)
+        named = {f"s{i}": pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(slots)}
+        return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))} | named
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long", "text")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long" + "".join(f", s{i} long" for i in range(slots)), "text")
 
 
 def _forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +191,88 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _forest_of_both(fps: np.ndarray, prints: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_forest`` on ``fps``, where both the prints and the fingerprints must be close."""
+    rest, above, root = np.arange(len(fps)), [], []
+    while len(rest) > 1:
+        seed, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), bool)
+            for part in range(0, len(front), 256):
+                f = front[part : part + 256, None]
+                close = (np.bitwise_count(prints[f] ^ prints[rest]) <= radius) & (np.bitwise_count(fps[f] ^ fps[rest]) <= near)
+                hit |= close.any(axis=0)
+            front, rest = rest[hit], rest[~hit]
+            above.append(fps[front])
+            root.append(np.full(len(front), fps[seed], np.uint64))
+    empty = [np.zeros(0, np.uint64)]
+    return np.concatenate(above or empty), np.concatenate(root or empty)
+
+
+def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints ``fp`` of ``(fp, s0, s1, ...)``.
+
+    Two texts are linked if one of their word prints differs in at most ``radius``
+    bits and their fingerprints in at most ``near``.  Every such pair meets in a
+    bucket of some covering mask.  Which buckets are large, and are split by further
+    coverings, is told from one item in sixteen: that bears on the cost only.
+    """
+
+    def edges_of(bucket_ids: np.ndarray, fps: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.nonzero(np.concatenate([[True], bucket_ids[1:] != bucket_ids[:-1]]))[0]
+        sizes = np.diff(np.concatenate([starts, [len(bucket_ids)]]))
+        two = starts[sizes == 2]
+        close = (np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius) & (np.bitwise_count(fps[two] ^ fps[two + 1]) <= near)
+        left, right = [fps[two[close]]], [fps[two[close] + 1]]
+        for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            a, b = _forest_of_both(fps[at : at + n], prints[at : at + n], radius, near)
+            left.append(a)
+            right.append(b)
+        return np.concatenate(left), np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
+            if len(held[0]) - cut > HELD:
+                cut = len(held[0])
+            if cut:
+                a, b = edges_of(held[0][:cut], held[1][:cut].view(np.uint64), held[2][:cut].view(np.uint64))
+                held = [h[cut:] for h in held]
+                yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
+        if len(held[0]):
+            a, b = edges_of(held[0], np.ascontiguousarray(held[1]).view(np.uint64), np.ascontiguousarray(held[2]).view(np.uint64))
+            yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    spark, parts = items.sparkSession, []
+    prints_ = F.array(*[c for c in items.columns if c != "fp"])
+    rows = items.select("fp", F.posexplode(prints_).alias("slot", "s")).withColumn("mask", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        steps = spark.createDataFrame([(_signed(m), _signed(f)) for m, f in _refinements(level)], "mask long, finer long")
+        rows = rows.join(F.broadcast(steps), "mask").select(
+            "fp", "slot", "s", F.col("finer").alias("mask"), F.xxhash64("slot", "finer", F.col("s").bitwiseAND(F.col("finer"))).alias("bucket")
+        )
+        small = rows
+        if level < LEVELS - 1:
+            some = rows.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(16)) == 0)
+            large = checkpointed(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket / 32).drop("n"))
+            if large.isEmpty():
+                rows = None
+            else:
+                small = rows.join(large, "bucket", "left_anti")
+                rows = rows.join(large, "bucket", "left_semi").drop("bucket")
+        dealt = small.select("bucket", "fp", "s").repartition("bucket").sortWithinPartitions("bucket", "fp", "s")
+        parts.append(dealt.mapInArrow(run, "a long, b long"))
+        if rows is None:
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket: int = BUCKET
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket: int = BUCKET, slots: int = 0
 ) -> DataFrame:
     """``(id_col, fingerprint, component_id)``, one row for each row of ``docs``.
 
@@ -167,11 +281,14 @@ def near_duplicates(
     Null and blank texts have fingerprint zero, which links like any other; null
     ids keep their row but are no component id unless their whole group has none;
     repeated rows each stay; an empty table gives an empty result; other columns
-    are not read.
+    are not read.  With ``slots`` word prints, links of ``word_links`` count too.
     """
-    own = checkpointed(fingerprints(docs, id_col, text_col, width))
+    own = checkpointed(fingerprints(docs, id_col, text_col, width, slots))
     firsts = checkpointed(own.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = connected_components(links(firsts.select("fp"), bucket), "a", "b")
+    edges = links(firsts.select("fp"), bucket)
+    if slots:
+        edges = edges.unionByName(word_links(own.drop("id").distinct(), bucket=bucket))
+    roots = connected_components(edges, "a", "b")
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
@@ -182,11 +299,13 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of its smallest id.
 
+    Groups are those of ``near_duplicates`` with ``slots`` word prints, which find
+    texts that share four fifths of their shingles of five words.
     Rows that repeat an id count once.  Rows without an id cannot be named and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = near_duplicates(docs, id_col, text_col, slots=slots, **options)
     keep = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
     return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -89,3 +89,63 @@ def test_keep_one(spark):
         "doc_id long, text string",
     )
     assert sorted(map(str, (r.doc_id for r in simhash.keep_one(docs).collect()))) == ["1", "5", "None"]
+
+
+def edited(rng, words, base, n):
+    changed = list(base)
+    for _ in range(n):
+        changed[rng.randrange(len(changed))] = rng.choice(words)
+    return changed
+
+
+def test_word_prints_find_edited_copies_and_leave_others(spark):
+    rng = random.Random(11)
+    words = [f"c{rng.randrange(60)}" for _ in range(40_000)] + [f"w{rng.randrange(60_000)}" for _ in range(60_000)]
+    rows, pairs = [], []
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(rng.choice([120, 300, 800]))]
+        copy = edited(rng, words, base, max(1, len(base) // 60))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        shingles = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (base, copy)]
+        if len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) >= 0.8:
+            pairs.append(i)
+    shuffled = rows[0][1].split()
+    rng.shuffle(shuffled)
+    rows.append((1000, " ".join(shuffled)))  # the same words, another text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert {2 * i for i in range(150)} | {1000} <= kept
+    assert len(pairs) > 100 and sum(2 * i + 1 in kept for i in pairs) <= 0.03 * len(pairs)
+
+
+@pytest.mark.parametrize("bucket", [2048, 32])
+def test_word_links_match_brute_force(spark, bucket):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(edited(rng, words, base, rng.randrange(12))) for _ in range(150)] + [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = simhash.fingerprints(docs, slots=3)
+    got = simhash.word_links(own.drop("id").distinct(), bucket=bucket).collect()
+    fps = [simhash.simhash(t.encode()) for t in texts]
+    prints = [simhash.word_prints(t.encode(), 3) for t in texts]
+    apart = lambda a, b: (int(a) ^ int(b)).bit_count()
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if apart(fps[i], fps[j]) <= 14 and any(apart(a, b) <= 3 for a, b in zip(prints[i], prints[j]))}
+
+    def groups(edges, nodes):
+        root = {n: n for n in nodes}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        out = {}
+        for n in nodes:
+            out.setdefault(find(n), set()).add(n)
+        return sorted(map(sorted, out.values()))
+
+    unsigned = lambda x: x % (1 << 64)
+    assert groups([(fps[i], fps[j]) for i, j in linked], set(fps)) == groups([(unsigned(r.a), unsigned(r.b)) for r in got], set(fps))
