@@ -39,7 +39,7 @@ BITS, RADIUS, LEVELS = 64, 3, 3
 #: Most different fingerprints that a bucket compares directly.
 BUCKET = 2048
 #: Word prints of a text, and the most bits by which the fingerprints of two texts that these link differ.
-SLOTS, NEAR = 6, 14
+SLOTS, NEAR = 6, 13
 #: Most members of a bucket of word prints compared as one; only texts of nearly the same words in other orders come to it.
 HELD = 65536
 #: Bytes of a text held as separate words at a time.
