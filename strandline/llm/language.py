@@ -324,8 +324,8 @@ class Labeler:
         if not vocabulary:
             return np.zeros((0, labels), np.float32), np.zeros(0, bool), begins
         scores, letter = [], []
-        for at in range(0, len(vocabulary), 100_000):
-            known = word_features(vocabulary[at : at + 100_000])
+        for at in range(0, len(vocabulary), 20_000):
+            known = word_features(vocabulary[at : at + 20_000])
             scores.append(self.field.emissions(known).astype(np.float32))
             letter.append(known.letter)
         place = coded.indices.to_numpy()
