@@ -332,4 +332,4 @@ def nearest_neighbour_index(spark, d):
 def affine_fit(spark, d):
     x, y = F.col("x"), F.col("y")
     pairs = b.points(spark, d).select("label", x.alias("sx"), y.alias("sy"), (2 * x - 0.5 * y + F.col("label")).alias("tx"), (0.25 * x + 1.5 * y - 3).alias("ty"))
-    return pattern.affine_fit(pairs, "label").select("label", "n", *[F.round(c, 5).alias(c) for c in ("a", "b", "e", "c", "d", "f", "rmse", "max_residual")])
+    return pattern.affine_fit(pairs, "label").select("label", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("a", "b", "e", "c", "d", "f", "rmse", "max_residual")])

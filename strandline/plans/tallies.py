@@ -125,10 +125,11 @@ def contingency_pivot(spark, d):
 
 
 # A17
-@query("box_statistics", "SELECT c_mktsegment, list_transform(quantile_cont(log10(c_acctbal), [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: round(x, 6)) AS quartiles, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+@query("box_statistics", "SELECT c_mktsegment, " + ", ".join(f"round(quantile_cont(log10(c_acctbal), {q}), 6) AS {n}" for n, q in (("low", 0.0), ("q1", 0.25), ("mid", 0.5), ("q3", 0.75), ("high", 1.0))) + ", count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def box_statistics(spark, d):
-    q = F.percentile(F.log10("c_acctbal"), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return table(spark, d, "customer").where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.transform(q, lambda x: F.round(x, 6)).alias("quartiles"), F.count("*").alias("n"))
+    q = F.percentile(F.log10("c_acctbal"), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
+    found = table(spark, d, "customer").where("c_acctbal > 0").groupBy("c_mktsegment").agg(q, F.count("*").alias("n"))
+    return found.select("c_mktsegment", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("low", "q1", "mid", "q3", "high"))], "n")
 
 
 # A19, A20, J20
