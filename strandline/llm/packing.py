@@ -36,7 +36,9 @@ CAPACITY = 2048
 #: Pieces packed together, on average.
 BLOCK = 32768
 #: Word parts whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of text encoded at a time.
+SLICE = 2 << 20
 
 _ASCII_LETTERS = frozenset(string.ascii_letters)
 
@@ -54,6 +56,9 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(2, np.int64)
@@ -68,12 +73,28 @@ class WordTokenizer:
             return word[:-1], word[-1]
         return word, ""
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each word.  Words of letters go in rows: the tokens that end a word part them again."""
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 8192):  # an encoding holds much more than its ids
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+            part = words[at : at + 8192]
+            if all(map(str.isalpha, part)):
+                rows = [" ".join(part[i : i + 512]) for i in range(0, len(part), 512)]
+                found = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+                ids = np.array([i for e in found for i in e.ids], np.uint32)
+                last = np.nonzero(self.ends[ids])[0]
+                if len(last) == len(part) and last[-1] == len(ids) - 1:
+                    flat.append(ids)
+                    lengths.append(np.diff(last, prepend=-1))
+                    continue
+            ids, sizes = self._each(part)
+            flat.append(ids)
+            lengths.append(sizes)
         return np.concatenate(flat), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +103,7 @@ class WordTokenizer:
         coded = split.flatten().dictionary_encode()
         parts = [part for word in coded.dictionary.to_pylist() for part in self._parts(word)]
         known, base = self.known, len(self.starts) - 1
-        new = list(dict.fromkeys(p for p in parts if p not in known))
+        new = sorted(dict.fromkeys(p for p in parts if p not in known), key=str.isalpha)
         flat, lengths = self._encode(new)
         ids = np.concatenate([self.ids, flat])
         starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
@@ -133,7 +154,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = word_tokenizer(path), TaskContext.get().partitionId() << 40
-        for chunk in sliced(batches, "text"):
+        for chunk in sliced(batches, "text", SLICE):
             ids, bounds = words.encode(pc.fill_null(chunk.column(1), ""))
             rows = []
             for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
