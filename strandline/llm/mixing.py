@@ -27,7 +27,7 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 #: Largest block, and the slots that a small corpus is cut into.
 BLOCK, SLOTS = 1024, 1 << 16
 #: Rows of a cell, on average.
-CELL = 4096
+CELL = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
