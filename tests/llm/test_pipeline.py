@@ -12,7 +12,7 @@ def test_stages_against_brute_force(spark):
     judged = {r.doc_id: r for r in language.identify(docs).collect()}
     assert {r.doc_id for r in known.collect()} == {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= 0.5}
     single = stages["near_duplicates"](spark, known, SF).cache()
-    ids = {r.doc_id: r.component_id for r in simhash.near_duplicates(known).collect()}
+    ids = {r.doc_id: r.component_id for r in simhash.near_duplicates(known, slots=simhash.SLOTS).collect()}
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(ids.values()))
     clean = stages["personal_data"](spark, single, SF).cache()
     before = {r.doc_id: r.text for r in single.collect()}
