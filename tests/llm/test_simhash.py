@@ -149,3 +149,23 @@ def test_word_links_match_brute_force(spark, bucket):
 
     unsigned = lambda x: x % (1 << 64)
     assert groups([(fps[i], fps[j]) for i, j in linked], set(fps)) == groups([(unsigned(r.a), unsigned(r.b)) for r in got], set(fps))
+
+
+@pytest.mark.parametrize("shape", ["block", "appended", "cut"])
+def test_keep_one_finds_a_changed_passage(spark, shape):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([150, 400]))]
+        n = len(base) // 10
+        other = [rng.choice(words) for _ in range(n)]
+        at = rng.randrange(len(base) - n)
+        copy = {"block": base[:at] + other[: n * 3 // 5] + base[at + n * 3 // 5 :], "appended": base + other, "cut": base[:-n]}[shape]
+        shingles = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (base, copy)]
+        assert len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) >= 0.8
+        half = base[: len(base) // 2] + [rng.choice(words) for _ in range(len(base) // 2)]  # far under the likeness
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(half))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {3 * i for i in range(60)} | {3 * i + 2 for i in range(60)} <= kept
+    assert sum(3 * i + 1 in kept for i in range(60)) <= 1
