@@ -45,8 +45,8 @@ BITS, RADIUS, LEVELS = 64, 3, 3
 BUCKET = 2048
 #: Word prints of a text, and the most bits by which the fingerprints of two texts that these link differ.
 SLOTS, NEAR = 6, 13
-#: Most members of a bucket of word prints compared as one; only texts of nearly the same words in other orders come to it.
-HELD = 65536
+#: Pairs of members of a bucket of word prints compared at a time.
+TILE = 1 << 24
 #: Words of a shingle of the likeness, keys of a text and minima in a key: a pair of likeness 0.8 has a common key in 998 of 1,000 cases.
 WIDE, BANDS, ROWS = 5, 16, 5
 #: Members of a set of texts with a common key that all its members are compared with.
@@ -208,9 +208,9 @@ def _forest_of_both(fps: np.ndarray, prints: np.ndarray, radius: int, near: int)
     while len(rest) > 1:
         seed, front, rest = rest[0], rest[:1], rest[1:]
         while len(front) and len(rest):
-            hit = np.zeros(len(rest), bool)
-            for part in range(0, len(front), 256):
-                f = front[part : part + 256, None]
+            hit, step = np.zeros(len(rest), bool), max(1, TILE // len(rest))
+            for part in range(0, len(front), step):
+                f = front[part : part + step, None]
                 close = (np.bitwise_count(prints[f] ^ prints[rest]) <= radius) & (np.bitwise_count(fps[f] ^ fps[rest]) <= near)
                 hit |= close.any(axis=0)
             front, rest = rest[hit], rest[~hit]
@@ -225,7 +225,7 @@ def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket:
 
     Two texts are linked if one of their word prints differs in at most ``radius``
     bits and their fingerprints in at most ``near``.  Every such pair meets in a
-    bucket of some covering mask.  Which buckets are large, and are split by further
+    bucket of some covering mask, and a bucket of any size is compared as a whole.  Which buckets are large, and are split by further
     coverings, is told from one item in sixteen: that bears on the cost only.
     """
 
@@ -248,8 +248,6 @@ def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket:
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
-            if len(held[0]) - cut > HELD:
-                cut = len(held[0])
             if cut:
                 a, b = edges_of(held[0][:cut], held[1][:cut].view(np.uint64), held[2][:cut].view(np.uint64))
                 held = [h[cut:] for h in held]

@@ -169,3 +169,10 @@ def test_keep_one_finds_a_changed_passage(spark, shape):
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {3 * i for i in range(60)} | {3 * i + 2 for i in range(60)} <= kept
     assert sum(3 * i + 1 in kept for i in range(60)) <= 1
+
+
+def test_word_links_compare_a_bucket_of_any_size_as_a_whole(spark):
+    # one print for all, fingerprints of 17 bits: any two are close or have a close third, but blocks of 65,536 in order share nothing
+    items = spark.range(100_000).selectExpr("id as fp", "cast(7 as long) as s0")
+    edges = simhash.word_links(items, bucket=10**9)
+    assert edges.selectExpr("least(a, b) as low", "greatest(a, b) as high").where("low < 65536 and high >= 80000").count() > 0
