@@ -10,13 +10,17 @@ from strandline.plans.registry import query
 from strandline.sources import diagnose, readers, writers
 
 
-# K8: CSV texts made from orders, one file for each status, with planted faults
+#: Order keys of a file
+_SPAN = 10_000
+
+
+# K8: CSV texts made from all orders, with planted faults; a folder for each status, with a file for each span of keys
 def _files(spark, d):
-    o = b.table(spark, d, "orders").where("o_orderkey % 50 = 1")
+    o = b.table(spark, d, "orders").withColumn("part", F.floor(F.col("o_orderkey") / _SPAN))
     broken = F.when(F.col("o_orderkey") % 200 == 1, "x").when(F.col("o_orderkey") % 200 == 51, "999").when(F.col("o_orderkey") % 200 == 101, "")
     line = F.concat_ws(",", "o_orderkey", F.coalesce(broken, F.lit("139.5")), F.lit("35.5"))
-    texts = o.groupBy("o_orderstatus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
-    return texts.select(F.concat(F.col("o_orderstatus"), F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("JASID,Lon,Lat\n"), "t"), "UTF-8").alias("content"))
+    texts = o.groupBy("o_orderstatus", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return texts.select(F.concat("o_orderstatus", F.lit(".csv/"), "part").alias("path"), F.encode(F.concat(F.lit("JASID,Lon,Lat\n"), "t"), "UTF-8").alias("content"))
 
 
 @query(
@@ -25,13 +29,16 @@ def _files(spark, d):
     UNION ALL SELECT DISTINCT o_orderstatus || '.csv', 'missing_column', 1 FROM orders WHERE o_orderkey % 50 = 1""",
 )
 def csv_diagnostics(spark, d):
-    return diagnose.inspect(_files(spark, d), ["JASID", "LGC"]).groupBy("path", "category").agg(F.count("*").alias("n"))
+    issues = diagnose.inspect(_files(spark, d), ["JASID", "LGC"]).withColumn("path", F.substring_index("path", "/", 1))
+    # an issue of the header, in each file of a folder, counts once
+    once = F.countDistinct(F.when(F.col("record_number").isNull(), F.struct("column_name", "message", "value")))
+    return issues.groupBy("path", "category").agg((F.count("record_number") + once).alias("n"))
 
 
 # SRC3
 @query("encoding_sniff", "SELECT DISTINCT o_orderstatus || '.csv' AS path, 'utf-8' AS encoding, false AS bom FROM orders WHERE o_orderkey % 50 = 1")
 def encoding_sniff(spark, d):
-    return readers.sniff_encodings(_files(spark, d))
+    return readers.sniff_encodings(_files(spark, d)).withColumn("path", F.substring_index("path", "/", 1)).distinct()
 
 
 # One long table of summaries

@@ -103,3 +103,13 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     assert sorted((r.uid, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 1), ("c", 1)]
     counts = checkpoints.windowed_counts(spark.read.parquet(str(tmp_path / "in")), "ts", "uid")
     assert counts.count() == 3
+
+
+def test_csv_files_hold_every_order(spark):
+    from strandline.plans import quality
+    from tests.conftest import SF
+
+    texts = [bytes(r.content).decode().splitlines() for r in quality._files(spark, SF).collect()]
+    keys = [int(line.split(",")[0]) for t in texts for line in t[1:]]
+    assert sorted(keys) == sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect())
+    assert max(map(len, texts)) <= quality._SPAN + 1
