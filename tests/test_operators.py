@@ -312,3 +312,29 @@ def test_hausdorff(spark):
     make = lambda rows: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)], "point_id long, x double, y double")
     r = nb.hausdorff(make([(0, 0), (1, 0), (5, 0)]), make([(0, 0), (1, 1)])).first()
     assert r.left_to_right == pytest.approx(math.hypot(4, 1)) and r.right_to_left == 1 and r.left_matched == pytest.approx(1 / 3)
+
+
+def test_radiocarbon_intervals_of_every_customer(spark):
+    import math
+
+    from strandline.plans.catalogue import QUERIES
+    from tests.conftest import SF
+
+    customers = spark.read.parquet(f"{SF}/customer.parquet").collect()
+    got = {}
+    for r in QUERIES["radiocarbon_intervals"](spark, SF).collect():
+        got.setdefault(r.date_id, []).append(r)
+    assert set(got) == {c.c_custkey for c in customers}
+    curve = [(i * 5.0, i * 5 * 0.93 + 40 * math.sin(i * 5 / 150)) for i in range(200, 1400)]
+    for c in customers:
+        age, variance = float(c.c_acctbal) / 4 + 3000, (20 + c.c_custkey % 40) ** 2 + 144
+        p = {bp: math.exp(-((c14 - age) ** 2) / (2 * variance)) / math.sqrt(2 * math.pi * variance) for bp, c14 in curve}
+        total, held, kept = sum(p.values()), 0.0, []
+        for bp in sorted(p, key=lambda x: (-p[x], x)):
+            if held >= 0.954:
+                break
+            held += p[bp] / total
+            kept.append(bp)
+        rows = got[c.c_custkey]
+        assert (min(r.to_bp for r in rows), max(r.from_bp for r in rows)) == (min(kept), max(kept))
+        assert abs(sum(r.probability for r in rows) - held) < 1e-6
