@@ -20,6 +20,21 @@ SPACES = b" \t\n\x0b\x0c\r"
 SLICE = 4 << 20
 
 
+#: Bytes of a text held as separate words at a time.
+PIECE = 1 << 20
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists that stand for about PIECE bytes each."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in SPACES:
+            end += 1
+        yield text[at:end].split()
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

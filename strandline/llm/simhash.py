@@ -16,12 +16,9 @@ more.  To find texts that share four fifths of their shingles of five words, a s
 adds word prints: independent fingerprints over the different words of a text, which
 an edit moves much less.  Print by print they go through the same covering; a link
 also needs fingerprints of shingles that are close, so that texts which merely use the
-same words stay apart.
-
-Neither finds a text with a changed, added or cut passage.  Such pairs come from
-MinHash: BANDS keys of ROWS minima each over the shingles of five words.  Texts with a
-common key are candidates, and a candidate counts only if the Jaccard likeness of its
-whole sets of shingles says so.
+same words stay apart.  Texts with a changed, added or cut passage come by their shingles
+(``likeness.py``).  Components are built over (id, fingerprint) pairs, so that the least
+of a component carries its smallest id and no group is ever brought together for it.
 """
 
 from __future__ import annotations
@@ -33,10 +30,11 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACES, map_batches, raw
+from strandline.llm.common import map_batches, raw, words_of
+from strandline.llm.likeness import LIKE, band_keys, shingles_of, similar, tiles
 from strandline.operators.components import connected_components
 from strandline.session import checkpointed
 
@@ -47,15 +45,6 @@ BUCKET = 2048
 SLOTS, NEAR = 6, 13
 #: Pairs of members of a bucket of word prints compared at a time.
 TILE = 1 << 24
-#: Words of a shingle of the likeness, keys of a text and minima in a key: a pair of likeness 0.8 has a common key in 998 of 1,000 cases.
-WIDE, BANDS, ROWS = 5, 16, 5
-#: Members of a set of texts with a common key that all its members are compared with.
-SEEDS = 6
-#: Least share of common shingles of near-duplicates.
-LIKE = 0.8
-#: Bytes of a text held as separate words at a time.
-PIECE = 1 << 20
-
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_PLACE = (np.arange(8) * 256).astype(np.int64)
 
@@ -82,17 +71,6 @@ def _refinements(level: int) -> list[tuple[int, int]]:
     return sorted({(m, m | c) for m in masks for c in covering([p for p in range(BITS) if not m >> p & 1])})
 
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text in order, in lists that stand for about PIECE bytes each."""
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and text[end] not in SPACES:
-            end += 1
-        yield text[at:end].split()
-        at = end
-
-
 def simhash(text: bytes, width: int = 3) -> int:
     """Unsigned 64-bit fingerprint over shingles of ``width`` words, repeats included."""
     ones, total, last = np.zeros(BITS, np.int64), 0, []
@@ -130,18 +108,24 @@ def word_prints(text: bytes, slots: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, slots: int = 0) -> DataFrame:
-    """``(id, fp, s0, s1, ...)``, a row for each input row: the fingerprint and ``slots`` word prints as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, slots: int = 0, keys: bool = False) -> DataFrame:
+    """``(id, fp, s0, s1, ..., keys)``, a row for each input row: the fingerprint and ``slots`` word prints as signed longs.
+
+    With ``keys``, also the list of ``likeness.band_keys``.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = raw(batch.column(1))
         fps = np.fromiter((simhash(t, width) for t in texts), np.uint64, batch.num_rows)
         prints = np.stack([word_prints(t, slots) for t in texts]) if slots else np.zeros((len(texts), 0), np.uint64)
         named = {f"s{i}": pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(slots)}
+        if keys:
+            named["keys"] = pa.array([band_keys(shingles_of(t)) for t in texts], pa.list_(pa.int64()))
         return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))} | named
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long" + "".join(f", s{i} long" for i in range(slots)), "text")
+    schema = f"id {kind}, fp long" + "".join(f", s{i} long" for i in range(slots)) + ", keys array<long>" * keys
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema, "text")
 
 
 def _forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,13 +204,13 @@ def _forest_of_both(fps: np.ndarray, prints: np.ndarray, radius: int, near: int)
     return np.concatenate(above or empty), np.concatenate(root or empty)
 
 
-def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
-    """Edges ``(a, b)`` between fingerprints ``fp`` of ``(fp, s0, s1, ...)``.
+def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame | None]:
+    """Edges ``(a, b)`` between fingerprints ``fp`` of ``(fp, s0, s1, ...)``, and what ``wide_links`` has to compare.
 
     Two texts are linked if one of their word prints differs in at most ``radius``
     bits and their fingerprints in at most ``near``.  Every such pair meets in a
-    bucket of some covering mask, and a bucket of any size is compared as a whole.  Which buckets are large, and are split by further
-    coverings, is told from one item in sixteen: that bears on the cost only.
+    bucket of some covering mask.  Rows ``(bucket, fp, s)`` of large buckets (told from
+    one item in sixteen: that bears on the cost only) are returned, or None if there are none.
     """
 
     def edges_of(bucket_ids: np.ndarray, fps: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,101 +240,98 @@ def word_links(items: DataFrame, radius: int = RADIUS, near: int = NEAR, bucket:
             a, b = edges_of(held[0], np.ascontiguousarray(held[1]).view(np.uint64), np.ascontiguousarray(held[2]).view(np.uint64))
             yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    spark, parts = items.sparkSession, []
     prints_ = F.array(*[c for c in items.columns if c != "fp"])
-    rows = items.select("fp", F.posexplode(prints_).alias("slot", "s")).withColumn("mask", F.lit(0).cast("long"))
-    for level in range(LEVELS):
-        steps = spark.createDataFrame([(_signed(m), _signed(f)) for m, f in _refinements(level)], "mask long, finer long")
-        rows = rows.join(F.broadcast(steps), "mask").select(
-            "fp", "slot", "s", F.col("finer").alias("mask"), F.xxhash64("slot", "finer", F.col("s").bitwiseAND(F.col("finer"))).alias("bucket")
-        )
-        small = rows
-        if level < LEVELS - 1:
-            some = rows.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(16)) == 0)
-            large = checkpointed(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket / 32).drop("n"))
-            if large.isEmpty():
-                rows = None
-            else:
-                small = rows.join(large, "bucket", "left_anti")
-                rows = rows.join(large, "bucket", "left_semi").drop("bucket")
-        dealt = small.select("bucket", "fp", "s").repartition("bucket").sortWithinPartitions("bucket", "fp", "s")
-        parts.append(dealt.mapInArrow(run, "a long, b long"))
-        if rows is None:
-            break
-    return reduce(DataFrame.unionByName, parts)
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in covering(list(range(BITS)), radius)])).alias("mask")
+    rows = items.select("fp", F.posexplode(prints_).alias("slot", "s")).select("fp", "slot", "s", masks)
+    rows = rows.select(F.xxhash64("slot", "mask", F.col("s").bitwiseAND(F.col("mask"))).alias("bucket"), "fp", "s")
+    some = rows.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(16)) == 0)
+    large = checkpointed(some.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket / 32).drop("n"))
+    wide = None
+    if not large.isEmpty():
+        rows, wide = rows.join(large, "bucket", "left_anti"), checkpointed(rows.join(large, "bucket", "left_semi"))
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "fp", "s")
+    return dealt.mapInArrow(run, "a long, b long"), wide
 
 
-def shingles_of(text: bytes, width: int = WIDE) -> np.ndarray:
-    """Hashes of the different shingles of ``width`` words, in order; of a shorter text, of all its words."""
-    parts, last = [], []
-    for words in words_of(text.lower()):
-        words = last + words
-        last = words[max(0, len(words) - width + 1) :]
-        grams = zip(*(words[i:] for i in range(width)), strict=False)
-        parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(s), 43) for s in grams], np.uint64))
-    if last and not sum(map(len, parts)):
-        parts = [np.array([xxhash.xxh64_intdigest(b" ".join(last), 43)], np.uint64)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def _close(radius: int, near: int) -> Column:
+    """Whether the rows ``fp, s`` and ``fp2, s2`` are linked."""
+    return (F.bit_count(F.col("s").bitwiseXOR(F.col("s2"))) <= radius) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= near)
 
 
-_FACTORS = np.random.default_rng(42).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def star_links(rows: DataFrame, radius: int = RADIUS, near: int = NEAR) -> DataFrame:
+    """Edges between the members of each bucket of ``(bucket, fp, s)`` and one of them."""
+    one = checkpointed(rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("fp").alias("o"), "fp", "s")).alias("one")))
+    met = rows.join(one.select("bucket", F.col("one.fp").alias("fp2"), F.col("one.s").alias("s2")), "bucket")
+    return met.where(_close(radius, near)).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set of shingles, each a hash of ROWS minima; none of an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 1024):
-            z = shingles[at : at + 1024, None] * _FACTORS[0]
-            z = (z ^ (z >> np.uint64(32))) * _FACTORS[1]
-            least = np.minimum(least, z.min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def wide_links(rows: DataFrame, labels: DataFrame, radius: int = RADIUS, near: int = NEAR, limit: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` in buckets ``(bucket, fp, s)`` of any size, between fingerprints of different ``labels`` ``(fp, root)``.
 
+    Each tile of ``likeness.tiles`` is one comparison of at most some ``limit`` by ``limit`` members.
+    """
 
-def shingle_links(texts: DataFrame, roots: DataFrame, like: float = LIKE) -> DataFrame:
-    """Edges ``(a, b)`` between the roots of ``texts`` of ``(h, text)`` whose Jaccard likeness is at least ``like``.
+    def run(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [], []
+        for i in range(len(left["mark"])):
+            hit = (np.bitwise_count(left["s"][i] ^ right["s"]) <= radius) & (np.bitwise_count(left["fp"][i] ^ right["fp"]) <= near) & (right["mark"] != left["mark"][i])
+            _, first = np.unique(right["mark"][hit], return_index=True)  # one link to each component is enough
+            a.append(np.full(len(first), left["fp"][i]))
+            b.append(right["fp"][hit][first])
+        return np.concatenate(a), np.concatenate(b)
+
+    return tiles(rows.join(labels.select("fp", F.xxhash64("root").alias("mark")), "fp"), ["fp", "s"], F.lit(1), limit, run)
+
+
+def _rooted(firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, root)`` for every ``(fp, node)`` of ``firsts``: the least node that ``edges`` between values ``fp`` join to its own."""
+    left, right = (firsts.select(F.col("fp").alias(side), F.col("node").alias(f"n{side}")) for side in "ab")
+    roots = connected_components(edges.where("a <> b").join(left, "a").join(right, "b"), "na", "nb")
+    return checkpointed(firsts.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
 
-    ``roots`` has ``(h, root)``; pairs of one root are linked already and not looked at.
-    Of the texts with a common key each meets SEEDS of them, others for each key: few
-    texts all meet; of many, a pair that no seed joins may stay apart.
-    """
 
-    def keys(batch: pa.RecordBatch) -> dict:
-        found = [band_keys(shingles_of(t)) for t in raw(batch.column(1))]
-        h = np.repeat(batch.column(0).to_numpy(), [len(k) for k in found])
-        return {"h": pa.array(h), "key": pa.array(np.concatenate(found))}
-
-    def sets(batch: pa.RecordBatch) -> dict:
-        return {"h": batch.column(0), "set": pa.array([shingles_of(t).tobytes() for t in raw(batch.column(1))], pa.binary())}
-
-    def alike(batch: pa.RecordBatch) -> dict:
-        hit = []
-        for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True):
-            one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(one, two, assume_unique=True)) if min(len(one), len(two)) >= like * max(len(one), len(two)) else 0
-            hit.append(common >= like * (len(one) + len(two) - common) > 0)
-        mask = pa.array(hit, pa.bool_())
-        return {"a": batch.column(0).filter(mask), "b": batch.column(1).filter(mask)}
-
-    rows = checkpointed(map_batches(texts.select("h", "text"), keys, "h long, key long", "text").distinct())
-    order = [F.min(F.struct(F.xxhash64("h", "key", F.lit(k)).alias("o"), "h"))["h"] for k in range(SEEDS)]
-    seeds = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.array_distinct(F.array(*order)).alias("seeds")).where("lo < hi")
-    met = rows.join(seeds.select("key", "seeds"), "key").select("h", F.explode("seeds").alias("g")).where("h <> g")
-    pairs = met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    pairs = pairs.join(roots.withColumnRenamed("root", "a"), "h").join(roots.select(F.col("h").alias("g"), F.col("root").alias("b")), "g").where("a <> b")
-    pairs = checkpointed(pairs)
-    needed = pairs.select("h").unionByName(pairs.select(F.col("g").alias("h"))).distinct()
-    single = texts.groupBy("h").agg(F.first("text").alias("text")).join(needed, "h", "left_semi")
-    held = checkpointed(map_batches(single.select("h", "text"), sets, "h long, set binary", "text"))
-    both = pairs.join(held, "h").join(held.select(F.col("h").alias("g"), F.col("set").alias("other")), "g")
-    return map_batches(both.select("a", "b", "set", "other"), alike, "a long, b long", "set")
-
-
-def near_duplicates(
+def _joined(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, root)`` after further ``edges`` between values ``fp``."""
+    left, right = (rooted.select(F.col("fp").alias(side), F.col("root").alias(f"n{side}")) for side in "ab")
+    edges = checkpointed(edges.where("a <> b").distinct().join(left, "a").join(right, "b").where("na <> nb").select("na", "nb").distinct())
+    if edges.isEmpty():
+        return rooted
+    more = connected_components(edges, "na", "nb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return checkpointed(rooted.join(more, "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
+
+
+def grouped(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket: int = BUCKET, slots: int = 0, like: float | None = None
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, h, fp, ...)``, a row for each row of ``docs``, and ``(fp, root)`` for each different ``fp``.
+
+    ``h`` is a hash of the text.  ``root`` is a struct ``(none, id, fp)``: the smallest id of the
+    component (``none`` tells that there is no id), and the fingerprint of its row.
+    """
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("id"), F.col(text_col).alias("text"))
+    own = fingerprints(texts, "id", "text", width, slots, like is not None)
+    own = checkpointed(own.select("id.id", "id.h", *own.columns[1:]))
+    ids = own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f"))
+    firsts = checkpointed(ids.select("fp", F.struct("f.none", "f.id", "fp").alias("node")))
+    edges, wide = links(firsts.select("fp"), bucket), None
+    if slots:
+        prints = [f"s{i}" for i in range(slots)]
+        more, wide = word_links(own.select("fp", *prints).distinct(), bucket=bucket)
+        edges = edges.unionByName(more)
+        if wide is not None:
+            edges = edges.unionByName(star_links(wide))
+    rooted = _rooted(firsts, edges)
+    if wide is not None:
+        rooted = _joined(rooted, wide_links(wide, rooted, limit=bucket))
+    if like is not None:
+        single = own.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+        single = checkpointed(single)
+        for edges in similar(single, texts.select("id.h", "text"), lambda: rooted, like):
+            rooted = _joined(rooted, edges)
+    return own, rooted
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id_col, fingerprint, component_id)``, one row for each row of ``docs``.
 
     ``fingerprint``: 16 hex digits.  ``component_id``: the smallest id that chains
@@ -358,29 +339,12 @@ def near_duplicates(
     Null and blank texts have fingerprint zero, which links like any other; null
     ids keep their row but are no component id unless their whole group has none;
     repeated rows each stay; an empty table gives an empty result; other columns
-    are not read.  With ``slots`` word prints, links of ``word_links`` count too, and
-    with ``like`` those of ``shingle_links``.
+    are not read.  With the option ``slots`` (word prints of a text), links of
+    ``word_links`` count too, and with ``like`` those of ``likeness.similar``.
     """
-    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("id"), F.col(text_col).alias("text"))
-    own = fingerprints(texts, "id", "text", width, slots)
-    own = checkpointed(own.select("id.id", "id.h", *own.columns[1:]))
-    firsts = checkpointed(own.groupBy("fp").agg(F.min("id").alias("first_id")))
-    edges = links(firsts.select("fp"), bucket)
-    if slots:
-        edges = edges.unionByName(word_links(own.drop("id", "h").distinct(), bucket=bucket))
-    roots = connected_components(edges, "a", "b")
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    if like is not None:
-        rooted = checkpointed(rooted)
-        named = own.select("h", "fp").distinct().join(rooted, "fp").select("h", "root")
-        more = connected_components(shingle_links(texts.select("id.h", "text"), checkpointed(named), like), "a", "b")
-        further = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rooted = rooted.join(further, "root", "left").select("fp", "first_id", F.coalesce("top", "root").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(
+    own, rooted = grouped(docs, id_col, text_col, **options)
+    named = rooted.select("fp", F.col("root.id").alias("component_id"))
+    return own.select("id", "fp").join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -390,8 +354,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
 
     Groups are those of ``near_duplicates`` with ``slots`` word prints and with links
     between texts that share ``like`` of their different shingles of five words.
-    Rows that repeat an id count once.  Rows without an id cannot be named and stay.
+    Where an id repeats with texts of different groups, a row of each stays.  A group
+    without any id keeps one row too.  Of rows with the same id and fingerprint, the text
+    with the least hash stays, and of rows that repeat it the first in the order of
+    their JSON form.
     """
-    found = near_duplicates(docs, id_col, text_col, slots=slots, like=like, **options)
-    keep = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    own, rooted = grouped(docs, id_col, text_col, slots=slots, like=like, **options)
+    tops = rooted.where("fp = root.fp").select("fp", F.col("root.id").alias("top"))
+    found = own.select("id", "h", "fp").join(tops, "fp").where(F.col("id").eqNullSafe(F.col("top")))
+    one = found.groupBy("fp", "id", "h").agg(F.count("*").alias("n")).groupBy("fp", "id").agg(F.min(F.struct("h", "n")).alias("one"))
+    one = checkpointed(one.select(F.col("id").alias("__id"), F.col("one.h").alias("__h"), F.col("one.n").alias("__n")))
+    same = lambda keys: docs[id_col].eqNullSafe(keys["__id"]) & (F.xxhash64(docs[text_col]) == keys["__h"])
+    once = one.where("__n = 1")
+    kept = docs.join(once, same(once), "left_semi")
+    again = one.where("__n > 1")
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    repeated = docs.join(again, same(again), "left_semi").groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"))
+    return kept.unionByName(repeated.agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*"))

@@ -5,7 +5,10 @@ import re
 import pytest
 import xxhash
 
-from strandline.llm import simhash
+from pyspark.sql import functions as F
+
+from strandline.llm import common, likeness, simhash
+from strandline.session import checkpointed
 
 
 def brute_fingerprint(text, width=3):
@@ -50,7 +53,7 @@ def test_last_level_leaves_few_bits():
 
 @pytest.mark.parametrize("piece", [1 << 20, 7])
 def test_fingerprint_matches_brute_force(monkeypatch, piece):
-    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(common, "PIECE", piece)
     for text in ["", " \n", "One", "one two", "a b c", "Äb C d é\x1ff g h", "x y " * 50, "a\tb\x0bc\x0cd\re f"]:
         assert simhash.simhash(text.encode()) == brute_fingerprint(text)
 
@@ -91,6 +94,13 @@ def test_keep_one(spark):
     assert sorted(map(str, (r.doc_id for r in simhash.keep_one(docs).collect()))) == ["1", "5", "None"]
 
 
+def test_keep_one_keeps_a_row_for_each_text_of_a_repeated_id(spark):
+    rows = [(1, "a b c d e", "y"), (1, "a b c d e", "x"), (1, "words that no other row holds", "x"), (None, "A b c d e", "x"), (None, "alone", "q"), (None, "alone", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __h string")
+    kept = sorted(map(str, map(tuple, simhash.keep_one(docs).collect())))
+    assert kept == sorted(map(str, [(1, "a b c d e", "x"), (1, "words that no other row holds", "x"), (None, "alone", "q")]))
+
+
 def edited(rng, words, base, n):
     changed = list(base)
     for _ in range(n):
@@ -118,7 +128,7 @@ def test_word_prints_find_edited_copies_and_leave_others(spark):
     assert len(pairs) > 100 and sum(2 * i + 1 in kept for i in pairs) <= 0.05 * len(pairs)
 
 
-@pytest.mark.parametrize("bucket", [2048, 32])
+@pytest.mark.parametrize("bucket", [2048, 32, 2])
 def test_word_links_match_brute_force(spark, bucket):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(5000)]
@@ -126,29 +136,19 @@ def test_word_links_match_brute_force(spark, bucket):
     texts = [" ".join(edited(rng, words, base, rng.randrange(12))) for _ in range(150)] + [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     own = simhash.fingerprints(docs, slots=3)
-    got = simhash.word_links(own.drop("id").distinct(), bucket=bucket).collect()
+    edges, wide = simhash.word_links(own.drop("id").distinct(), bucket=bucket)
+    got = edges.collect()
+    assert (wide is None) == (bucket > 1000)
+    if wide is not None:
+        labels = spark.createDataFrame([(f,) for f in {r.fp for r in own.collect()}], "fp long").selectExpr("fp", "fp as root")
+        got += simhash.wide_links(wide, labels, limit=3).collect()
     fps = [simhash.simhash(t.encode()) for t in texts]
     prints = [simhash.word_prints(t.encode(), 3) for t in texts]
     apart = lambda a, b: (int(a) ^ int(b)).bit_count()
     linked = {(i, j) for i in range(len(texts)) for j in range(i) if apart(fps[i], fps[j]) <= simhash.NEAR and any(apart(a, b) <= 3 for a, b in zip(prints[i], prints[j]))}
 
-    def groups(edges, nodes):
-        root = {n: n for n in nodes}
-
-        def find(n):
-            while root[n] != n:
-                n = root[n]
-            return n
-
-        for a, b in edges:
-            root[find(a)] = find(b)
-        out = {}
-        for n in nodes:
-            out.setdefault(find(n), set()).add(n)
-        return sorted(map(sorted, out.values()))
-
     unsigned = lambda x: x % (1 << 64)
-    assert groups([(fps[i], fps[j]) for i, j in linked], set(fps)) == groups([(unsigned(r.a), unsigned(r.b)) for r in got], set(fps))
+    assert components([(fps[i], fps[j]) for i, j in linked], set(fps)) == components([(unsigned(r.a), unsigned(r.b)) for r in got], set(fps))
 
 
 @pytest.mark.parametrize("shape", ["block", "appended", "cut"])
@@ -171,8 +171,46 @@ def test_keep_one_finds_a_changed_passage(spark, shape):
     assert sum(3 * i + 1 in kept for i in range(60)) <= 1
 
 
-def test_word_links_compare_a_bucket_of_any_size_as_a_whole(spark):
-    # one print for all, fingerprints of 17 bits: any two are close or have a close third, but blocks of 65,536 in order share nothing
-    items = spark.range(100_000).selectExpr("id as fp", "cast(7 as long) as s0")
-    edges = simhash.word_links(items, bucket=10**9)
-    assert edges.selectExpr("least(a, b) as low", "greatest(a, b) as high").where("low < 65536 and high >= 80000").count() > 0
+def test_a_bucket_of_any_size_is_compared_as_a_whole(spark):
+    # one print for all; fingerprints in two components, of which only the last ones are close to the first
+    items = spark.range(9_000).selectExpr("if(id < 8990, id, (id - 8990) | 1048576) as fp", "cast(7 as long) as s0")
+    edges, wide = simhash.word_links(items)
+    assert wide.select("fp").distinct().count() == 9_000
+    labels = items.selectExpr("fp", "struct(fp >= 1048576 as apart) as root")
+    found = simhash.wide_links(wide, labels, near=1, limit=512).distinct().collect()
+    assert {(r.a, r.b) for r in found} == {(i | 1 << 20, i) for i in range(10)}
+
+
+def test_shingle_links_match_brute_force_in_one_large_bucket(spark):
+    # copies of one text with 0 to 9 % of its words changed: most are below the likeness, and chains through others join some
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [" ".join(edited(rng, words, base, rng.randrange(1, 14))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    single = checkpointed(simhash.fingerprints(docs.selectExpr("xxhash64(text) as h", "text"), "h", keys=True).withColumnRenamed("id", "h").distinct())
+    rooted = single.select("fp", F.struct("fp").alias("root"))
+    edges = [e.collect() for e in likeness.similar(single, docs.selectExpr("xxhash64(text) as h", "text"), lambda: rooted, limit=1 << 14)]
+    sets = [likeness.shingles_of(t.encode()) for t in texts]
+    fps = [simhash._signed(simhash.simhash(t.encode())) for t in texts]
+    brute = [(fps[i], fps[j]) for i in range(160) for j in range(i) if likeness.jaccard(sets[i], sets[j]) >= 0.8]
+    got = [(r.a, r.b) for e in edges for r in e]
+    assert len(edges[0]) > 20 and len(edges[1]) > 20
+    assert set(map(frozenset, got)) <= set(map(frozenset, brute))
+    assert components(got, fps) == components(brute, fps)
+
+
+def components(edges, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    out = {}
+    for n in root:
+        out.setdefault(find(n), set()).add(n)
+    return sorted(map(sorted, out.values()))
