@@ -81,14 +81,14 @@ def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     return common / max(1, len(one) + len(two) - common)
 
 
-def tiles(rows: DataFrame, payload: list[str], weight: Column, limit: int, compare: Callable) -> DataFrame:
+def tiles(rows: DataFrame, payload: DataFrame, weight: Column, limit: int, compare: Callable) -> DataFrame:
     """Edges ``(a, b)`` that ``compare`` finds between members of one bucket and different ``mark``.
 
-    ``rows`` has ``bucket``, ``mark`` (the component of a member, hashed) and ``payload``, of
-    which the first column names the member.  In each bucket, members outside the component
-    of the most ``weight`` are dealt to chunks, all members to blocks, of about ``limit``
-    weight each, and every chunk meets every block in a task.  ``compare`` gets two
-    dicts of arrays by column, and returns two arrays of member names (unsigned).
+    ``rows`` has ``bucket``, ``member``, ``mark`` (the component of a member, hashed) and what ``weight``
+    reads, ``payload`` a row for each ``member`` or each ``(bucket, member)``.  In each bucket, members
+    outside the component of the most ``weight`` are dealt to chunks, all members to blocks, of about
+    ``limit`` weight each, and every chunk meets every block in a task.  ``compare`` gets two dicts of
+    arrays by column, and returns two arrays of member names (unsigned).
     """
     weighed = rows.withColumn("weight", weight.cast("long"))
     parts = weighed.groupBy("bucket", "mark").agg(F.sum("weight").alias("w"))
@@ -96,16 +96,19 @@ def tiles(rows: DataFrame, payload: list[str], weight: Column, limit: int, compa
     grid = checkpointed(
         whole.select("bucket", F.col("main.mark").alias("main"), F.ceil((F.col("w") - F.col("main.w")) / limit).alias("chunks"), F.ceil(F.col("w") / limit).alias("blocks"))
     )
-    met = rows.join(grid, "bucket").withColumn("place", F.xxhash64(payload[0], F.lit(3)))
-
-    def dealt(side: int, own: str, other: str) -> DataFrame:
-        across = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-        at = met.withColumn("own", F.pmod("place", F.col(own))).withColumn("across", across)
-        pair = ("own", "across") if side == 0 else ("across", "own")
-        return at.select(F.xxhash64("bucket", *pair).alias("tile"), F.lit(side).alias("side"), "mark", *payload, F.lit(side == 0).alias("left"), "main")
-
-    left = dealt(0, "chunks", "blocks").where("mark <> main")
-    both = left.unionByName(dealt(1, "blocks", "chunks")).drop("left", "main")
+    met = rows.select("bucket", "member", "mark").join(grid, "bucket").withColumn("place", F.xxhash64("member", F.lit(3)))
+    keys = [c for c in payload.columns if c in ("bucket", "member")]
+    met = met.join(payload, keys)
+    columns = ["member", *[c for c in payload.columns if c not in keys]]
+
+    # a member outside the main component stands on both sides of the grid
+    sides = F.filter(F.array(F.when(F.col("mark") != F.col("main"), F.lit(0)), F.lit(1)), lambda x: x.isNotNull())
+    both = met.withColumn("side", F.explode(sides))
+    on_left = F.col("side") == 0
+    own, other = (F.when(on_left, F.col(x)).otherwise(F.col(y)) for x, y in (("chunks", "blocks"), ("blocks", "chunks")))
+    both = both.withColumn("own", F.pmod("place", own)).withColumn("across", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    pair = F.when(on_left, F.struct(F.col("own").alias("l"), F.col("across").alias("r"))).otherwise(F.struct(F.col("across").alias("l"), F.col("own").alias("r")))
+    both = both.select(F.xxhash64("bucket", pair).alias("tile"), "side", "mark", *columns)
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
 
     def values(column: pa.Array, name: str):
@@ -114,7 +117,7 @@ def tiles(rows: DataFrame, payload: list[str], weight: Column, limit: int, compa
         return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mark", *payload]
+        names = ["mark", *columns]
         held: list[tuple[int, pa.RecordBatch]] = []  # pieces of one tile
 
         def close() -> pa.RecordBatch | None:
@@ -150,7 +153,7 @@ def _alike(like: float) -> Callable:
         values, ids = np.unique(np.concatenate(right["set"]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         held, a, b = np.zeros(len(values), np.int64), [], []
-        for name, mark, own in zip(left["h"], left["mark"], left["set"], strict=True):
+        for name, mark, own in zip(left["member"], left["mark"], left["set"], strict=True):
             at = np.minimum(np.searchsorted(values, own), len(values) - 1)
             at = at[values[at] == own]
             held[at] = 1
@@ -159,7 +162,7 @@ def _alike(like: float) -> Callable:
             hit = (common >= like * (len(own) + sizes - common)) & (right["mark"] != mark) & (common > 0)
             _, first = np.unique(right["mark"][hit], return_index=True)  # one link to each component is enough
             a.append(np.full(len(first), name))
-            b.append(right["h"][hit][first])
+            b.append(right["member"][hit][first])
         return np.concatenate(a), np.concatenate(b)
 
     return compare
@@ -168,32 +171,40 @@ def _alike(like: float) -> Callable:
 def similar(single: DataFrame, texts: DataFrame, rooted: Callable[[], DataFrame], like: float = LIKE, limit: int = TILE) -> Iterator[DataFrame]:
     """Edges ``(a, b)`` between values ``fp``, in two steps; ``rooted()`` tells ``(fp, root)`` at either.
 
-    ``single`` has ``(h, fp, keys)`` for each different text, ``texts`` the ``(h, text)`` rows.
+    ``single`` has ``(h, fp, id, keys)`` for each different text: its hash, fingerprint, the id of a row that
+    has it and its keys; ``texts`` has ``(h, id, text)`` rows.
     """
     names = single.select("h", "fp")
     labels = lambda: names.join(rooted(), "fp").select("h", F.xxhash64("root").alias("mark"))
     marked = single.join(rooted(), "fp").select("h", F.xxhash64("root").alias("mark"), F.explode("keys").alias("bucket"))
     open_ = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi")
     rows = checkpointed(marked.join(checkpointed(open_.select("bucket", "n")), "bucket"))
-    needed = checkpointed(rows.select("h").distinct())
 
     def sets(batch: pa.RecordBatch) -> dict:
-        return {"h": batch.column(0), "set": pa.array([shingles_of(t).tobytes() for t in raw(batch.column(1))], pa.binary())}
+        found = [shingles_of(t) for t in raw(batch.column(1))]
+        return {"h": batch.column(0), "set": pa.array([s.tobytes() for s in found], pa.binary()), "size": pa.array(map(len, found), pa.int64())}
 
-    found = map_batches(texts.join(needed, "h", "left_semi").select("h", "text"), sets, "h long, set binary", "text")
-    held = checkpointed(found.dropDuplicates(["h"]))
+    needed = checkpointed(rows.select("h").distinct().join(single.select("h", "id"), "h").select(F.col("h").alias("g"), F.col("id").alias("one")))
+    found = texts.join(needed, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("one")), "left_semi").select("h", "text")
+    held = checkpointed(map_batches(found, sets, "h long, set binary, size long", "text"))
+    if held.count() > needed.count():  # rows that repeat id and text
+        held = checkpointed(held.dropDuplicates(["h"]))
 
     # a text whose keys many others have is met by all that have one
     score = rows.groupBy("h").agg(F.sum("n").alias("score"))
     hubs = rows.join(score, "h").groupBy("bucket").agg(F.max(F.struct("score", F.xxhash64("h").alias("o"), "h", "mark")).alias("hub"))
     hubs = checkpointed(hubs.select("bucket", F.col("hub.h").alias("g"), F.col("hub.mark").alias("other")))
-    pairs = rows.join(hubs, "bucket").where("mark <> other").select("h", "g").distinct()
-    both = pairs.join(held, "h").join(held.select(F.col("h").alias("g"), F.col("set").alias("set2")), "g")
+    rest = checkpointed(rows.select("bucket", "h", "mark").join(hubs, "bucket").where("h <> g"))
+    sizes = held.select("h", "size")
+    pairs = rest.where("mark <> other").select("h", "g").distinct()
+    pairs = pairs.join(sizes, "h").join(sizes.select(F.col("h").alias("g"), F.col("size").alias("size2")), "g")
+    pairs = pairs.where((F.least("size", "size2") >= like * F.greatest("size", "size2"))).select("h", "g")
+    both = pairs.join(held.select("h", "set"), "h").join(held.select(F.col("h").alias("g"), F.col("set").alias("set2")), "g")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "set"):
             one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            hit = pa.array([min(len(x), len(y)) >= like * max(len(x), len(y)) and jaccard(x, y) >= like for x, y in zip(one, two, strict=True)], pa.bool_())
+            hit = pa.array([jaccard(x, y) >= like for x, y in zip(one, two, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(hit), "b": batch.column(1).filter(hit)})
 
     def by_print(edges: DataFrame) -> DataFrame:
@@ -202,5 +213,5 @@ def similar(single: DataFrame, texts: DataFrame, rooted: Callable[[], DataFrame]
         return edges.join(left, "a").join(right, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
     yield by_print(both.select("h", "g", "set", "set2").mapInArrow(verified, "a long, b long"))
-    rows = rows.select("bucket", "h").join(labels(), "h").join(held, "h")
-    yield by_print(tiles(rows.select("bucket", "mark", "h", "set"), ["h", "set"], F.length("set"), limit, _alike(like)))
+    rest = checkpointed(rest.select("bucket", "h").join(labels(), "h").join(sizes, "h").withColumnRenamed("h", "member"))
+    yield by_print(tiles(rest, held.select(F.col("h").alias("member"), "set"), 8 * F.col("size"), limit, _alike(like)))

@@ -274,13 +274,14 @@ def wide_links(rows: DataFrame, labels: DataFrame, radius: int = RADIUS, near: i
     def run(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
         for i in range(len(left["mark"])):
-            hit = (np.bitwise_count(left["s"][i] ^ right["s"]) <= radius) & (np.bitwise_count(left["fp"][i] ^ right["fp"]) <= near) & (right["mark"] != left["mark"][i])
+            hit = (np.bitwise_count(left["s"][i] ^ right["s"]) <= radius) & (np.bitwise_count(left["member"][i] ^ right["member"]) <= near) & (right["mark"] != left["mark"][i])
             _, first = np.unique(right["mark"][hit], return_index=True)  # one link to each component is enough
-            a.append(np.full(len(first), left["fp"][i]))
-            b.append(right["fp"][hit][first])
+            a.append(np.full(len(first), left["member"][i]))
+            b.append(right["member"][hit][first])
         return np.concatenate(a), np.concatenate(b)
 
-    return tiles(rows.join(labels.select("fp", F.xxhash64("root").alias("mark")), "fp"), ["fp", "s"], F.lit(1), limit, run)
+    members = rows.join(labels.select("fp", F.xxhash64("root").alias("mark")), "fp").select("bucket", F.col("fp").alias("member"), "mark")
+    return tiles(members, rows.select("bucket", F.col("fp").alias("member"), "s").distinct(), F.lit(1), limit, run)
 
 
 def _rooted(firsts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -324,9 +325,11 @@ def grouped(
     if wide is not None:
         rooted = _joined(rooted, wide_links(wide, rooted, limit=bucket))
     if like is not None:
-        single = own.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-        single = checkpointed(single)
-        for edges in similar(single, texts.select("id.h", "text"), lambda: rooted, like):
+        # one row stands for each text: that of its smallest id
+        ids = own.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("f"))
+        ones = own.join(checkpointed(ids), "h").where(F.col("id").eqNullSafe(F.col("f.id")))
+        single = checkpointed(ones.select("h", "fp", "id", "keys").dropDuplicates(["h"]))
+        for edges in similar(single, texts.select("id.h", "id.id", "text"), lambda: rooted, like):
             rooted = _joined(rooted, edges)
     return own, rooted
 
