@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while stamp[0]:
         # large star: hang every larger neighbour of u below u's smallest neighbour
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join deals it anew and a node with very many neighbours can be split
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             current.select(F.col("v").alias("u"), F.col("u").alias("w"))
             .join(low, "u")
