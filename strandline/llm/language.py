@@ -4,8 +4,9 @@ Every word gets emission scores from hashed character n-grams (those at its edge
 its affixes) and from a learned lexicon; learned transitions link neighbouring words.
 Forward-backward gives each word's chance of each language, so that code-switched
 text is labelled word by word; a document's language is the one with the largest
-share of its words.  Chains are cut every ``CHAIN`` words, and all chains of a batch
-move through forward-backward together.
+share of its words.  A text is one chain.  To move long chains through forward-backward
+together, they are dealt into blocks of ``BLOCK`` words; products of a block's transfer
+matrices carry the chances from block to block, so that the result is that of the whole chain.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import crc_mod4, sliced
 
-CHAIN = 128
+#: Words of a block of a chain (bears on the speed only).
+BLOCK = 128
 #: Hashed n-gram slots; n-grams of one to three characters, word edges included.
 SLOTS, GRAMS = 1 << 16, 3
-#: Bounds of the training sample: documents for each language, characters of one, words in all.
-DOCS_PER_LANGUAGE, MAX_CHARS, MAX_WORDS = 400, 20_000, 400_000
+#: Bounds of the training sample: documents for each language and in all, characters of one, words in all.
+DOCS_PER_LANGUAGE, MAX_DOCS, MAX_CHARS, MAX_WORDS = 400, 8_000, 20_000, 400_000
 #: Bytes of text labelled at a time.
 CHUNK = 2 << 20
 UNKNOWN = "und"
@@ -147,27 +149,73 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return marginal / np.maximum(marginal.sum(axis=1, keepdims=True), 1e-300), counts
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Chance of each language for every word; as ``forward_backward``, without the counts."""
-    chains = len(lengths)
-    order = np.argsort(-lengths, kind="stable")
-    begins = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    longest = int(sizes[0]) if chains else 0
-    live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
+def _live(sizes: np.ndarray) -> list[int]:
+    """How many of the chains, longest first, have a word at each place."""
+    return [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]) if len(sizes) else 0)]
+
+
+def _joints(potential: np.ndarray, lengths: np.ndarray, counts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and behind each block: the factors of its first word's and its last word's chances.
+
+    ``lengths`` are the words of the blocks, ``counts`` the blocks of each chain, in order.
+    """
+    k = potential.shape[1]
+    before, behind = np.ones((2, len(lengths), k), np.float32)
+    first = np.cumsum(counts) - counts
+    many = np.repeat(counts > 1, counts)
+    if not many.any():
+        return before, behind
+    blocks = np.nonzero(many)[0]
+    blocks = blocks[np.argsort(-lengths[blocks], kind="stable")]
+    begins = (np.cumsum(lengths) - lengths)[blocks]
+    opening = np.isin(blocks, first)[:, None, None]
+    product = np.tile(np.eye(k, dtype=np.float32), (len(blocks), 1, 1))
+    for t, n in enumerate(_live(lengths[blocks])):
+        moved = product[:n] @ step
+        if t == 0:  # a chain's first word follows nothing
+            moved = np.where(opening, product, moved)
+        moved = moved * potential[begins[:n] + t][:, None, :]
+        product[:n] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    transfer = np.zeros((len(lengths), k, k), np.float32)
+    transfer[blocks] = product
+    order = np.argsort(-counts, kind="stable")
+    first, counts = first[order], counts[order]
+    live = _live(counts)
+    end = np.ones((len(counts), k), np.float32)
+    for j, n in enumerate(live[:-1]):
+        end = np.einsum("ci,cij->cj", end[:n], transfer[first[:n] + j])[: live[j + 1]]
+        end = end / end.sum(axis=1, keepdims=True)
+        before[first[: live[j + 1]] + j + 1] = end @ step
+    for j in range(len(live) - 1, 0, -1):
+        rows = first[: live[j]] + j
+        back = np.einsum("cij,cj->ci", transfer[rows], behind[rows])
+        behind[rows - 1] = back / back.sum(axis=1, keepdims=True)
+    return before, behind
+
+
+def marginals(scores: np.ndarray, words: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Chance of each language for every word of chains of so many ``words``; as ``forward_backward``, without the counts."""
     potential = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
     step = np.exp(transitions - transitions.max()).astype(np.float32)
+    words = words[words > 0]
+    counts = -(-words // block)
+    lengths = np.full(int(counts.sum()), block)
+    lengths[np.cumsum(counts) - 1] = words - (counts - 1) * block
+    prior, behind = _joints(potential, lengths, counts, step)
+    order = np.argsort(-lengths, kind="stable")
+    begins, live = (np.cumsum(lengths) - lengths)[order], _live(lengths[order])
+    prior, behind = prior[order], behind[order]
     alpha = np.empty_like(potential)
     before = None
-    for t in range(longest):
-        rows = begins[: live[t]] + t
-        now = potential[rows] if t == 0 else (before[: live[t]] @ step) * potential[rows]
+    for t, n in enumerate(live):
+        rows = begins[:n] + t
+        now = (prior if t == 0 else before[:n] @ step) * potential[rows]
         before = now / now.sum(axis=1, keepdims=True)
         alpha[rows] = before
     beta = np.ones((0, scores.shape[1]), np.float32)
-    for t in range(longest - 1, -1, -1):
+    for t in range(len(live) - 1, -1, -1):
         rows = begins[: live[t]] + t
-        now = np.ones((live[t], scores.shape[1]), np.float32)
+        now = behind[: live[t]].copy()
         if len(beta):
             more = len(beta)
             back = (potential[rows[:more] + 1] * beta) @ step.T
@@ -274,10 +322,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.3,
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``per_language`` documents of each language.
+    """Texts and languages of about ``per_language`` documents of each language, fewer where that makes over MAX_DOCS.
 
-    Only documents whose crc32 of the id modulo 4 is not 2, with a language and at
-    most MAX_CHARS characters; which ones follows from a hash of the id.
+    Only documents whose crc32 of the id modulo 4 is not 2, with a language; which ones
+    follows from a hash of the id.  Of a text of over MAX_CHARS characters a stretch of
+    so many teaches, from a place that follows from the hash too.
     """
     fit_for = docs.where((crc_mod4(F.col(id_col)) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -285,12 +334,17 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     counts = {r["lang"]: r["count"] for r in fit_for.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return [], []
+    per_language = min(per_language, max(1, MAX_DOCS // len(counts)))
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, min(1.0, per_language / n)).otherwise(share)
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    spare = F.length("text") - MAX_CHARS
+    stretch = F.substring(F.col("text"), 1 + F.pmod(F.xxhash64(F.col("id"), F.lit(19)), spare + 1).cast("int"), F.lit(MAX_CHARS))
+    whole_words = F.regexp_replace(stretch, r"^\S+\s|\s\S+$", "")
     rows = (
-        fit_for.where((place < share) & (F.length("text") <= MAX_CHARS))
+        fit_for.where(place < share)
+        .select("id", F.when(spare > 0, whole_words).otherwise(F.col("text")).alias("text"), "lang")
         .orderBy(F.xxhash64(F.col("id"), F.lit(17)), "id", F.xxhash64("text"))
         .limit(2 * per_language * len(counts) + 1000)
         .collect()
@@ -305,9 +359,9 @@ class Labeler:
         self.field = field
 
     def shares(self, texts: pa.Array) -> np.ndarray:
-        """For each text the summed chances of each language over its words with a letter."""
+        """For each text the summed chances of each language over its words with a letter, and of each word's likeliest one."""
         marginal, letter, begins = self.words(texts)
-        marginal = np.where(letter[:, None], marginal, 0)
+        marginal = np.hstack([marginal, marginal.max(axis=1, keepdims=True, initial=0)]) * letter[:, None]
         sums = np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0, dtype=np.float64)])
         return sums[begins[1:]] - sums[begins[:-1]]
 
@@ -329,22 +383,22 @@ class Labeler:
             scores.append(self.field.emissions(known).astype(np.float32))
             letter.append(known.letter)
         place = coded.indices.to_numpy()
-        counts = np.diff(begins)
-        full, rest = counts // CHAIN, counts % CHAIN
-        lengths = np.full(int((full + (rest > 0)).sum()), CHAIN)
-        ends = np.cumsum(full + (rest > 0)) - 1
-        lengths[ends[rest > 0]] = rest[rest > 0]
-        return marginals(np.concatenate(scores)[place], lengths, self.field.transitions), np.concatenate(letter)[place], begins
+        return marginals(np.concatenate(scores)[place], np.diff(begins), self.field.transitions), np.concatenate(letter)[place], begins
 
 
-def predict_batch(labeler: Labeler, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and its share of each text; UNKNOWN and 0 where there is no letter."""
+def predict_batch(labeler: Labeler, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language of each text, its share, and how sure the words' labels are on average; UNKNOWN and 0 where there is no letter.
+
+    Of languages with equal shares the first by name is taken.
+    """
     if not labeler.field.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     shares = labeler.shares(pc.fill_null(texts, ""))
+    shares, sure = shares[:, :-1], shares[:, -1]
     total, best = shares.sum(axis=1), shares.argmax(axis=1)
     names = [labeler.field.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total, strict=True)]
-    return names, np.clip(np.where(total > 0, shares.max(axis=1) / np.maximum(total, 1e-30), 0), 0, 1)
+    part = lambda x: np.clip(np.where(total > 0, x / np.maximum(total, 1e-30), 0), 0, 1)
+    return names, part(shares.max(axis=1)), part(sure)
 
 
 def identify(
@@ -363,7 +417,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(field)
         for batch in sliced(batches, "text", CHUNK):
-            names, scores = predict_batch(labeler, batch.column(1))
+            names, scores, _ = predict_batch(labeler, batch.column(1))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -396,15 +450,20 @@ def switches(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5, field: Field | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_sure: float = 0.5, field: Field | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` with a language whose share is at least ``min_score``; columns as they are."""
+    """The rows of ``docs`` whose words' likeliest languages have a chance of at least ``min_sure`` on average; columns as they are.
+
+    Text in several languages stays if its words are told apart.  Null and empty texts and
+    texts without a letter go, as does every row where no language could be learned; ids may be
+    null or repeat; an empty table gives an empty one; other columns are handed on.
+    """
     field = field or fit(*training_sample(docs, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeler = Labeler(field)
         for batch in sliced(batches, text_col, CHUNK):
-            names, scores = predict_batch(labeler, batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)]))
+            names, _, sure = predict_batch(labeler, batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= min_sure for n, s in zip(names, sure.tolist(), strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ def test_forward_backward_matches_enumeration():
     scores, trans = rng.normal(size=(lengths.sum(), 3)), rng.normal(size=(3, 3))
     marginal, counts = L.forward_backward(scores, lengths, trans)
     fast = L.marginals(scores, lengths, trans)
+    dealt = [L.marginals(scores, lengths, trans, block=b) for b in (1, 2, 3)]
     want, pairs, at = np.zeros_like(scores), np.zeros((3, 3)), 0
     for n in lengths:
         weights = {p: np.exp(sum(scores[at + i, c] for i, c in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in itertools.product(range(3), repeat=int(n))}
@@ -25,6 +26,17 @@ def test_forward_backward_matches_enumeration():
                 pairs[a, b] += w / z
         at += n
     assert np.allclose(marginal, want) and np.allclose(counts, pairs) and np.allclose(fast, want, atol=1e-5)
+    assert all(np.allclose(d, want, atol=1e-5) for d in dealt)
+
+
+def test_blocks_give_the_chances_of_whole_chains():
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 1000, 128, 129, 1, 640, 0, 257])
+    for spread in (1, 8):  # also with transitions that carry far
+        scores, trans = rng.normal(size=(lengths.sum(), 4)) * 0.3, np.eye(4) * spread
+        scores[rng.random(len(scores)) < 0.5] = 0
+        want, _ = L.forward_backward(scores, lengths[lengths > 0], trans)
+        assert np.allclose(L.marginals(scores, lengths, trans), want, atol=2e-4)
 
 
 def words(rng, syllables, n):
@@ -41,8 +53,22 @@ def test_code_switched_text_is_labelled_by_word():
     chance, letter, begins = labeler.words(pa.array([mixed, "", "12 34", " x"]))
     assert letter[:24].all() and not letter[24:26].any() and begins.tolist() == [0, 24, 24, 26, 27]
     assert [field.languages[i] for i in chance[:24].argmax(axis=1)] == ["aa"] * 12 + ["bb"] * 12
-    names, scores = L.predict_batch(labeler, pa.array([texts[1], None, "", "42 !?", mixed]))
-    assert names[:4] == [langs[1], "und", "und", "und"] and scores[0] > 0.9 and 0.3 < scores[4] < 0.7
+    names, scores, sure = L.predict_batch(labeler, pa.array([texts[1], None, "", "42 !?", mixed]))
+    assert names[:4] == [langs[1], "und", "und", "und"] and scores[0] > 0.9 and 0.3 < scores[4] < 0.7 and sure[4] > 0.9
+    # equal shares: the first language by name
+    flat = L.Field(["aa", "bb"], np.zeros((L.SLOTS, 2), np.float32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((3, 2), np.float32), np.zeros((2, 2)))
+    assert L.predict_batch(L.Labeler(flat), pa.array(["some words"]))[0] == ["aa"]
+
+
+def test_long_texts_teach_and_mixed_texts_stay(spark):
+    rng = random.Random(4)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["thr", "str", "onk"], "cc": ["éü", "ñá", "ço"]}
+    rows = [(i, words(rng, kinds[n], 9000 if n == "bb" else 60), n) for i, n in enumerate(["aa", "bb", "cc"] * 20)]
+    mixed = " ".join(words(rng, kinds[n], 20) for n in kinds)
+    docs = spark.createDataFrame([*rows, (500, mixed, None), (501, "12 34", None)], "doc_id long, text string, lang string")
+    texts, langs = L.training_sample(docs, "doc_id", "text", "lang")
+    assert set(langs) == set(kinds) and max(map(len, texts)) <= L.MAX_CHARS
+    assert {r.doc_id for r in L.keep_known(docs).select("doc_id").collect()} == {*range(60), 500}
 
 
 def test_held_out_accuracy(spark):

@@ -188,10 +188,10 @@ def test_shingle_links_match_brute_force_in_one_large_bucket(spark):
     base = [rng.choice(words) for _ in range(150)]
     texts = [" ".join(edited(rng, words, base, rng.randrange(1, 14))) for _ in range(160)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    texts = docs.selectExpr("xxhash64(text) as h", "doc_id as id", "text")
-    single = checkpointed(simhash.fingerprints(docs, keys=True).join(texts.drop("text"), "id"))
+    rows = docs.selectExpr("xxhash64(text) as h", "doc_id as id", "text")
+    single = checkpointed(simhash.fingerprints(docs, keys=True).join(rows.drop("text"), "id"))
     rooted = single.select("fp", F.struct("fp").alias("root"))
-    edges = [e.collect() for e in likeness.similar(single, texts, lambda: rooted, limit=1 << 14)]
+    edges = [e.collect() for e in likeness.similar(single, rows, lambda: rooted, limit=1 << 14)]
     sets = [likeness.shingles_of(t.encode()) for t in texts]
     fps = [simhash._signed(simhash.simhash(t.encode())) for t in texts]
     brute = [(fps[i], fps[j]) for i in range(160) for j in range(i) if likeness.jaccard(sets[i], sets[j]) >= 0.8]
