@@ -24,8 +24,8 @@ from strandline.session import checkpointed
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Largest block, and the slots that a small corpus is cut into.
-BLOCK, SLOTS = 1024, 1 << 16
+#: Words of a block, at any size of corpus.
+BLOCK = 512
 #: Rows of a cell, on average.
 CELL = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,14 +76,21 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def _running(rows: DataFrame, keys: list[str], cell: str, order: list, value, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over all rows before, within ``keys``, by ``cell`` and then ``order``."""
+def _running(rows: DataFrame, keys: list[str], cell: str, order: list, value, name: str, depth: int = 1) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows before, within ``keys``, by ``cell`` and then ``order``.
+
+    What stands before each cell is summed in the same way, over 1,024 cells at a time.
+    """
     cells = rows.groupBy(*keys, cell).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(*keys, cell, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    if depth:
+        wide = cells.withColumn("__wide", F.shiftright(cell, 10))
+        starts = _running(wide, keys, "__wide", [cell], F.col("__sum"), "__start", depth - 1).select(*keys, cell, "__start")
+    else:
+        before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        starts = cells.select(*keys, cell, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(starts, [*keys, cell]).withColumn(name, F.col("__start") + F.col("__own")).drop("__start", "__own")
+    summed = rows.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, [*keys, cell])
+    return summed.withColumn("__both", F.col("__start") + F.col("__own")).drop("__start", "__own").withColumnRenamed("__both", name)
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
@@ -139,7 +146,7 @@ def mix(
     share: float = SHARE,
     cap: float = CAP,
     seed: int = 29,
-    block: int | None = None,
+    block: int = BLOCK,
     marked: bool = False,
 ) -> DataFrame:
     """``(id_col, size, source_size, target, taken)``, one row for each row of ``docs``.
@@ -152,8 +159,7 @@ def mix(
     adds ``mark``, a hash of the text, and ``source``.
     """
     sized = checkpointed(sizes(docs, id_col, text_col, source_col))
-    rows, words = sized.agg(F.count("*"), F.sum("size")).first()
-    block = block or max(1, min(BLOCK, (words or 0) // SLOTS))
+    rows = sized.count()
     sources = checkpointed(targets(sized, weights, share, cap))
     slots = schedule(sources, block)
     # one entry for each pass, of which there are no more than `cap`, rounded up
@@ -163,7 +169,7 @@ def mix(
     # as many rows as there are sources; small enough to send along wherever it is
     named = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
     place = F.xxhash64("id", "mark", F.lit(seed))
-    streamed = named.withColumn("place", place).withColumn("cell", F.shiftrightunsigned("place", 64 - int(math.log2(cells))) if cells > 1 else F.lit(0).cast("long"))
+    streamed = named.withColumn("place", place).withColumn("cell", F.shiftrightunsigned("place", 64 - int(math.log2(cells))) if cells > 1 else F.col("number").cast("long") * 0)
     begun = _running(streamed, ["number"], "cell", ["place", "id", "mark", "size"], F.col("size"), "begin")
     keyed = checkpointed(begun.withColumn("row", F.monotonically_increasing_id()))
     last = F.col("begin") + F.col("size")
@@ -183,7 +189,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself, in whole documents: rows of ``docs``, left out or repeated.
 
     A row comes as often as ``mix`` takes its words, rounded; rows that repeat each
-    other share what is taken of them.  Texts without a word have no part in a mix.
+    other share what is taken of them.  Texts without a word have no part in a mix; null
+    ids and sources are values like others; an empty table gives an empty one; other
+    columns are handed on.
     """
     found = mix(docs, id_col, text_col, source_col, marked=True, **options)
     copies = (
@@ -193,7 +201,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .select(F.col("mark").alias("__mark"), "__id", "__source", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"))
         .where("__copies > 0")
     )
+    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
     same = (
-        (F.xxhash64(docs[text_col]) == F.col("__mark")) & docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source"))
+        (F.xxhash64(docs[text_col]) == copies["__mark"]) & docs[id_col].eqNullSafe(copies["__id"]) & docs[source_col].eqNullSafe(copies["__source"])
     )
-    return docs.join(copies, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    return docs.join(copies, same).select(*[docs[c] for c in docs.columns])

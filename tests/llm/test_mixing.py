@@ -34,7 +34,7 @@ def corpus(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize("block", [None, 1, 7, 1024])
+@pytest.mark.parametrize("block", [mixing.BLOCK, 1, 7, 1024])
 def test_mix(spark, monkeypatch, block):
     monkeypatch.setattr(mixing, "CELL", 16)
     rows = corpus(1)
