@@ -5,15 +5,22 @@ cannot be article text (scripts, menus, forms and the like, by tag or by the wor
 its class, id or role) is left out at once.  The text lengths of the lines, without
 what is inside links, are summed over sliding windows.  Where the sums surge above a
 threshold text begins, where they dive to (nearly) nothing it ends, and everything
-between is kept, short lines included.  Of several surges the one with the most text
-wins.  If the page marks its article, lines outside it weigh nothing and each line
-inside weighs enough to surge, so that a short headline or last line is not lost.
+between is kept, short lines included; a stretch reaches over short lines without links
+right before and after it, such as a headline.  Stretches of far less text a line than
+the fullest one are left out.  A page whose sums never reach the threshold is measured by
+its own largest sum.  If the page marks articles, lines outside them weigh nothing and each line
+inside weighs enough to surge, so that no part of an article is lost; if it only marks a
+main part, lines outside that weigh nothing.
+
+Parsing takes one pass: what a start or end tag closes is kept with each open element,
+so that neither depth nor broken markup makes a page cost more than its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +29,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import map_batches
 
-#: Lines of a window, and the text lengths at which it surges and dives.
-WINDOW, SURGE, DIVE = 3, 80, 10
+#: Lines of a window, the text lengths at which it surges and dives, and the least share of the fullest stretch's text a line.
+WINDOW, SURGE, DIVE, DENSITY = 3, 80, 10, 0.25
 
 # Tags whose content is never text of the page; it has no markup of its own.
 _OPAQUE = frozenset("script style noscript template svg math iframe object canvas textarea select title xmp noembed noframes".split())
@@ -38,51 +45,75 @@ _HINT = re.compile(
     r"footer|foot|header|masthead|copyright|login|signup|search|pagination|pager|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+# Words that tell an advert, a notice or a comment even on a paragraph or an article.
+_STRICT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|newsletter|copyright|comments?|related)(?:$|[\s_-])", re.I)
+_WITHOUT = re.compile(r"(?:^|(?<=[\s]))(?:no|has|have|with|without|hide)[_-]\S*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quote opens a value only right after an equals sign.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = frozenset("li dt dd tr td th option".split())
+_LISTS = frozenset("ul ol dl table".split())
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in _OPAQUE}
 _WHITE = re.compile(r"\s+")
 # A paragraph or list item ends where the next block begins.
 _ENDS_P = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre section article main header footer nav aside form hr address figure fieldset details".split())
 
 
-def _is_boiler(name: str, attributes: str) -> bool:
-    if name in _BOILER:
+def _is_boiler(name: str, attributes: str, in_article: bool) -> bool:
+    if name in _BOILER and not (name == "header" and in_article):  # an article's header holds its headline
         return True
-    if not attributes or name in ("html", "body", "article", "main", "p", "h1"):
+    if not attributes.strip("/ \t\r\n") or name in ("html", "body", "main"):
         return False
+    hint = None if name in _HEADINGS or name == "header" else _STRICT if name in ("p", "article") else _HINT
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if key in ("class", "id") and _HINT.search(value):
+        if key in ("class", "id") and hint and hint.search(_WITHOUT.sub("", value)):
             return True
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, whether inside an article element) of each block with text."""
-    out: list[tuple[str, int, bool]] = []
+class _Open(NamedTuple):
+    """An open element: what of it counts, and what its descendants close or are kept by."""
+
+    name: str
+    boiler: bool
+    paragraph: int  # place of the paragraph that a block would end here, or -1
+    block: int  # place of the innermost element that is neither inline nor a paragraph, or -1
+    items: dict[str, int]  # places of the items that a further item of the same list would end
+
+
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters inside links, 2 inside an article, 1 inside a main element, else 0) of each block with text."""
+    out: list[tuple[str, int, int]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each began boilerplate
-    skipping = articles = links = 0
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of the open elements by name
+    root = _Open("", False, -1, -1, {})
+    skipping = articles = mains = links = 0
 
     def flush() -> None:
         if text:
             joined = _WHITE.sub(" ", "".join(t for t, _ in text)).strip()
             if joined:
                 linked = sum(len(t.strip()) for t, in_link in text if in_link)
-                out.append((joined, min(linked, len(joined)), articles > 0))
+                out.append((joined, min(linked, len(joined)), 2 if articles else int(mains > 0)))
             text.clear()
 
-    def leave(count: int) -> None:
-        nonlocal skipping, articles, links
-        for name, boiler in reversed(stack[len(stack) - count :]):
-            skipping -= boiler
-            articles -= name in ("article", "main")
-            links -= name == "a"
-        del stack[len(stack) - count :]
+    def leave(place: int) -> None:
+        nonlocal skipping, articles, mains, links
+        while len(stack) > place:
+            top = stack.pop()
+            places[top.name].pop()
+            skipping -= top.boiler
+            articles -= top.name == "article"
+            mains -= top.name == "main"
+            links -= top.name == "a"
 
     at = 0
     while at < len(page):
@@ -105,40 +136,40 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             text.append((" ", False))
         elif block:
             flush()
+        top = stack[-1] if stack else root
         if found[1]:
-            depth = next((i for i, (n, _) in enumerate(reversed(stack), 1) if n == name), 0)
             # a stray end tag of an inline element doesn't close the blocks around it
-            if depth and (block or all(n in _INLINE or n == "p" for n, _ in stack[len(stack) - depth :])):
-                leave(depth)
+            if places.get(name) and (block or top.block < places[name][-1]):
+                leave(places[name][-1])
         elif name not in _VOID and not found[3].endswith("/"):
-            if name in _ENDS_P:
-                depth = next((i for i, (n, _) in enumerate(reversed(stack), 1) if n == "p"), 0)
-                if depth and all(n == "p" or n in _INLINE for n, _ in stack[len(stack) - depth :]):
-                    leave(depth)
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                depth = next((i for i, (n, _) in enumerate(reversed(stack), 1) if n == name or n in ("ul", "ol", "dl", "table")), 0)
-                if depth and stack[len(stack) - depth][0] == name:
-                    leave(depth)
-            boiler = _is_boiler(name, found[3])
-            # a header inside the article may hold its headline; menus and the like never do
-            if boiler and name == "header" and articles and not _ATTRIBUTE.search(found[3]):
-                boiler = False
-            stack.append((name, boiler))
+            if name in _ENDS_P and top.paragraph >= 0:
+                leave(top.paragraph)
+            elif name in _ITEMS and name in top.items:
+                leave(top.items[name])
+            top, place = stack[-1] if stack else root, len(stack)
+            boiler = _is_boiler(name, found[3], articles > 0)
+            items = {} if name in _LISTS else top.items | {name: place} if name in _ITEMS else top.items
+            stack.append(
+                _Open(name, boiler, place if name == "p" else -1 if block else top.paragraph, place if block and name != "p" else top.block, items)
+            )
+            places.setdefault(name, []).append(place)
             skipping += boiler
-            articles += name in ("article", "main")
+            articles += name == "article"
+            mains += name == "main"
             links += name == "a"
     flush()
     return out
 
 
-def span(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> tuple[int, int]:
-    """First line and line after the last of the surge with the most text."""
+def spans(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE, density: float = DENSITY) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each stretch of text, in order."""
     n = len(lengths)
-    if not n:
-        return 0, 0
+    if not n or not lengths.max():
+        return []
     ends = np.concatenate([[0], np.cumsum(lengths)])
     sums = ends[np.minimum(np.arange(n) + window, n)] - ends[:-1]
-    best, at = (0, 0, 0), 0
+    surge, dive = min(surge, int(sums.max()) - 1), min(dive, int(lengths.max()) - 1)
+    found, at = [], 0
     while at < n:
         if sums[at] <= surge or lengths[at] <= dive:
             at += 1
@@ -146,19 +177,24 @@ def span(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE, dive: in
         stop = at
         while stop < n and sums[stop] > dive:
             stop += 1
-        if (total := int(ends[stop] - ends[at])) > best[0]:
-            best = (total, at, stop)
-        at = stop + 1
-    return best[1], best[2]
+        first = at
+        while first > (found[-1][1] if found else 0) and lengths[first - 1] > 0:
+            first -= 1
+        while stop < n and lengths[stop] > 0:
+            stop += 1
+        found.append((first, stop))
+        at = stop
+    per_line = [(ends[b] - ends[a]) / max(1, np.count_nonzero(lengths[a:b])) for a, b in found]
+    return [s for s, full in zip(found, per_line, strict=True) if full >= density * max(per_line)]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> str:
     """The article of a page, its blocks joined by two line feeds; empty if there is none."""
     found = lines(page or "")
-    marked = any(inside for _, _, inside in found)
-    weights = [(len(text) - linked + (surge + 1) * marked) * (inside or not marked) for text, linked, inside in found]
-    first, stop = span(np.array(weights, np.int64), window, surge, dive)
-    return "\n\n".join(text for text, _, _ in found[first:stop])
+    marked = max((inside for _, _, inside in found), default=0)
+    weights = [(len(text) - linked + (surge + 1) * (marked == 2)) * (inside == marked) for text, linked, inside in found]
+    kept = [text for a, b in spans(np.array(weights, np.int64), window, surge, dive) for text, _, inside in found[a:b] if inside == marked]
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
