@@ -1,5 +1,9 @@
+import itertools
 import random
+import time
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import urlrules as U
@@ -61,6 +65,46 @@ def test_mined_rules_block(spark):
     assert hit == {r.page_id for r in tokens if any(s <= set(r.t) for s in sets)}
 
 
+def brute_rules(rows, least, confidence, lift):
+    """All rules of up to three tokens by counting every combination in every basket."""
+    covered, hits = Counter(), Counter()
+    for items, bad in rows:
+        for k in (1, 2, 3):
+            for combination in itertools.combinations(sorted(items), k):
+                covered[combination] += 1
+                hits[combination] += bad
+    base = sum(bad for _, bad in rows) / len(rows)
+    sure = {c: hits[c] / n for c, n in covered.items() if n >= least and hits[c] / n >= max(confidence, lift * base) and hits[c]}
+    idle = {c for c in sure for k in range(1, len(c)) for part in itertools.combinations(c, k) if sure.get(part, -1) >= sure[c]}
+    return {c: (round(sure[c], 9), covered[c]) for c in set(sure) - idle}
+
+
+@pytest.mark.parametrize("path_words", [2, 14])
+def test_miner_matches_brute_force(spark, path_words):
+    rng = random.Random(path_words)
+    words = "abcdef" if path_words == 2 else "abcdefghijklmnop"
+    rows = []
+    for _ in range(400):
+        path = sorted(rng.sample(words, rng.randrange(1, path_words + 1)))
+        host = rng.choice(["x-y", "news", "shop"]) + ".example." + rng.choice(["com", "org"])
+        bad = rng.random() < (0.8 if "a" in path and host[0] == "x" else 0.7 if {"b", "c"} <= set(path) else 0.15)
+        rows.append((f"https://{host}/{'/'.join(path)}/", bad))
+    urls = spark.createDataFrame(rows, "url string, bad boolean")
+    sets = [(r.t, r.bad) for r in urls.select(U.tokens(F.col("url")).alias("t"), "bad").collect()]
+    assert (max(len(t) for t, _ in sets) > U.ITEMS) == (path_words > 2)
+    got = {tuple(sorted(r.tokens)): (round(r.confidence, 9), r.covered) for r in U.mine(urls, covered=12, lift=1.2).collect()}
+    assert got and got == brute_rules(sets, 12, 0.6, 1.2)
+
+
+def test_many_shared_words_stay_cheap(spark):
+    rows = [(f"https://h.example.com/{'/'.join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(40))}/", j % 4 > 0) for j in range(200)]
+    rows += [("https://h.example.com/fine/", False)] * 200
+    began = time.time()
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert len(rules) == 40 and all(len(r.tokens) == 1 and r.covered == 200 for r in rules)
+    assert time.time() - began < 60
+
+
 def test_noise_gives_no_rule(spark):
     rng = random.Random(2)
     rows = [(f"https://h{rng.randrange(9)}.example.com/{rng.choice('abc')}/{i}", rng.random() < 0.2) for i in range(900)]
