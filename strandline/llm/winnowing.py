@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-K, WINDOW = 16, 64
+from strandline.llm.common import sliced
+
+K, WINDOW = 16, 16
 #: Rows of a block of consecutive ids, and the most blocks (beyond it blocks grow; they are streamed).
 ROWS, BLOCKS = 1024, 10_000
 #: Grams hashed at a time; positions within one run must fit the low bits of a key.
@@ -97,11 +99,15 @@ def digest(hashes: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """``(id_col, hashes, positions)``: the winnowed fingerprint of each text; null is empty."""
+    """``(id_col, hashes, positions)``: the winnowed fingerprint of each text, a row for each row of ``docs``.
+
+    Null and empty texts have none; ids may be null or repeat; an empty table gives an
+    empty result; other columns are not read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [winnow(t or "", k, window) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -121,48 +127,67 @@ def _order(ids: pa.Array) -> np.ndarray:
     return pc.fill_null(ids.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
 
 
+def _blocks(place: np.ndarray, mark: np.ndarray, bounds: np.ndarray, inner: dict[int, np.ndarray]) -> np.ndarray:
+    """Block of each row: how many (place, mark) bounds it reaches; ``inner`` has the marks that split one place."""
+    found = np.searchsorted(bounds, place, side="right")
+    for value, marks in inner.items():
+        own, above = place == value, place > value
+        found[own] += np.searchsorted(marks, mark[own], side="right")
+        found[above] += len(marks)
+    return found
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_block: int = ROWS, most: int = BLOCKS) -> DataFrame:
-    """Rows ``(block, ends, place, id, text)`` such that each block holds consecutive ids.
+    """Rows ``(block, ends, place, mark, id, text)`` such that each block holds consecutive ids.
 
-    ``place`` orders a block; the first row of a block is copied, with ``ends``
-    true, into the block before it, whose last row it follows.  The first block
-    follows the last.  Block bounds are quantiles of the ids (at most ``most``
-    numbers); a text is shuffled once, but for those copies.
+    ``place`` and ``mark`` (a hash of the text) order a block; the first row of a block is
+    copied, with ``ends`` true, into the block before it, whose last row it follows.  The
+    first block follows the last.  Block bounds are quantiles of the ids (at most ``most``
+    numbers), and equal shares of the hashes where an id, or null, repeats more often than
+    a block has rows; a text is shuffled once, but for those copies.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids = rows.select(F.col("id").cast("long").alias("id"))
-    count = min(most, max(1, ids.count() // rows_per_block))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
+    ids = rows.select(F.col("id").cast("long").alias("id"), "mark")
+    total = ids.count()
+    count = min(most, max(1, total // rows_per_block))
+    size = max(rows_per_block, total // most)
     cuts = ids.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
     bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
+    often = ids.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).collect()  # fewer than there are blocks
+    inner = {}
+    for value, n in often:
+        shares = n // size
+        inner[-(1 << 63) if value is None else value] = np.array([-(1 << 63) + (i << 64) // shares for i in range(1, shares)], np.int64)
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = _order(batch.column(0))
-            yield pa.RecordBatch.from_pydict({"block": np.searchsorted(bounds, place, side="right"), "place": place})
+            place, mark = _order(batch.column(0)), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_pydict({"block": _blocks(place, mark, bounds, inner), "place": place, "mark": mark})
 
-    heads = ids.mapInArrow(block_of, "block long, place long").groupBy("block").agg(F.min("place").alias("place"))
-    firsts = sorted((r["block"], r["place"]) for r in heads.collect())  # a row for each block
-    before = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
-    starts = np.array(sorted(before), np.int64)
+    heads = ids.mapInArrow(block_of, "block long, place long, mark long").groupBy("block").agg(F.min(F.struct("place", "mark")).alias("head"))
+    firsts = sorted((r["block"], r["head"]["place"], r["head"]["mark"]) for r in heads.collect())  # a row for each block
+    before = {(place, mark): firsts[i - 1][0] for i, (_, place, mark) in enumerate(firsts)}
+    starts = np.array(sorted({place for place, _ in before}), np.int64)
     kind = rows.schema["id"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = _order(batch.column(0))
-            again = np.nonzero(np.isin(place, starts))[0]
-            take = pa.array(np.concatenate([np.arange(len(place)), again]))
-            copies = np.array([before[p] for p in place[again].tolist()], np.int64)
+        for batch in sliced(batches, 2):
+            place, mark = _order(batch.column(0)), batch.column(1).to_numpy()
+            again = [i for i in np.nonzero(np.isin(place, starts))[0].tolist() if (int(place[i]), int(mark[i])) in before]
+            take = np.concatenate([np.arange(len(place)), np.array(again, np.int64)])
+            copies = np.array([before[int(place[i]), int(mark[i])] for i in again], np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "block": np.concatenate([np.searchsorted(bounds, place, side="right"), copies]),
+                    "block": np.concatenate([_blocks(place, mark, bounds, inner), copies]),
                     "ends": np.arange(len(take)) >= len(place),
-                    "place": place[take.to_numpy()],
-                    "id": batch.column(0).take(take),
-                    "text": batch.column(1).take(take),
+                    "place": place[take],
+                    "mark": mark[take],
+                    "id": batch.column(0).take(pa.array(take)),
+                    "text": batch.column(2).take(pa.array(take)),
                 }
             )
 
-    return rows.mapInArrow(deal, f"block long, ends boolean, place long, id {kind}, text string")
+    return rows.mapInArrow(deal, f"block long, ends boolean, place long, mark long, id {kind}, text string")
 
 
 def edited(text: str, following: str) -> str:
@@ -177,41 +202,42 @@ def compare_edited(
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     Returns ``(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next)``, one row for each row of ``docs``.  The next document
-    is the next by integer id, null ids first and repeated ids by text; the first
-    follows the last, so a lone document follows itself.  Null texts are empty: an
+    near_edited, near_next, positions)``, one row for each row of ``docs``; ``positions``
+    are those of the fingerprint's hashes, in code points from 0.  The next document
+    is the next by integer id, null ids first and repeated ids by a hash of the text; the
+    first follows the last, so a lone document follows itself.  Null texts are empty: an
     empty fingerprint, alike only to another empty one.  An empty table gives an
     empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = with_next(docs, id_col, text_col, rows_per_block).repartition("block")
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out: list[tuple] = []
-            columns = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            columns = (batch.column(n).to_pylist() for n in ("block", "ends", "id", "text"))
             for block, ends, own_id, text in zip(*columns, strict=True):
                 if ends and (last is None or last[0] != block):
                     continue  # a further copy of a repeated first row
-                own = winnow(text, k, window)[0]
+                own, places = winnow(text, k, window)
                 if last and last[0] == block:
-                    _, before_id, before, hashes = last
+                    _, before_id, before, hashes, positions = last
                     changed = edited(before, text)
                     others = winnow(changed, k, window)[0]
                     sha = hashlib.sha256(changed.encode()).hexdigest()
                     near = likeness(hashes, others), likeness(hashes, own)
-                    out.append((before_id, len(before), sha, digest(hashes), digest(others), *near))
-                last = None if ends else (block, own_id, text, own)
+                    out.append((before_id, len(before), sha, digest(hashes), digest(others), *near, positions))
+                last = None if ends else (block, own_id, text, own, places)
             if out:
-                kinds = [pa_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     pa_kind = to_arrow_type(docs.schema[id_col].dataType)
-    return dealt.sortWithinPartitions("block", "ends", "place", "text").mapInArrow(
+    return dealt.sortWithinPartitions("block", "ends", "place", "mark", "text").mapInArrow(
         run,
         f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
+        "near_edited double, near_next double, positions array<long>",
     )
