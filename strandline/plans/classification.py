@@ -88,10 +88,22 @@ def tagged_segments(spark, d):
     return _places(spark, d).select("place_id", F.explode(tx.tagged_segments(F.col("features"))).alias("s")).select("place_id", "s.tag", "s.body")
 
 
-# K4
-@query("untagged_evidence", "SELECT NULL::BIGINT AS place_id, NULL::VARCHAR AS activity_domain, NULL::VARCHAR AS source, NULL::VARCHAR AS assignment_status, NULL::VARCHAR AS phases WHERE false")
+# K4: orders as places, seen in the phase of their year (in two phases if their status is open); every fourth text is tagged
+@query(
+    "untagged_evidence",
+    """WITH o AS (SELECT o_orderkey AS place_id, (['Pa','Jo','Ya','Ko','Na','He','Me'])[year(o_orderdate) % 7 + 1] AS phase, (['kiln','temple','mound','shellmound','tomb','nothing'])[o_orderkey % 6 + 1] AS body FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 4 <> 0),
+    feat AS (SELECT * FROM (VALUES ('general_activity','shellmound','Pa;Jo;Ya;Ko;Na;He;Me'),('monument','tomb','Ya;Ko;Me'),('monument','mound','Ya;Ko;Me'),('institutional','temple','Na;He;Me'),('production','kiln','Ko;Na;He;Me')) t(activity_domain, word, allowed))
+    SELECT place_id, activity_domain, 'untagged' AS source, CASE WHEN list_contains(string_split(allowed, ';'), phase) THEN 'present' ELSE 'incompatible' END AS assignment_status, CASE WHEN list_contains(string_split(allowed, ';'), phase) THEN phase ELSE '' END AS phases FROM o JOIN feat ON word = body""",
+)
 def untagged_evidence(spark, d):
-    found = classify.untagged_evidence(_places(spark, d), features=FEATURES)
+    i = F.year("o_orderdate") % 7
+    seen = lambda p: (F.lit(p) == i) | ((F.col("o_orderstatus") == "P") & (F.lit(p) == (i + 1) % 7))
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("o_orderkey") % len(_WORDS) + 1).cast("int"))
+    places = b.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("place_id"), F.array(*[seen(p).cast("int") for p in range(len(seq.PHASES))]).alias("states"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("[Ko]"), word)).otherwise(word).alias("features"),
+    )
+    found = classify.untagged_evidence(places, features=FEATURES)
     return found.select("place_id", "activity_domain", "source", "assignment_status", F.array_join("compatible", ";").alias("phases"))
 
 

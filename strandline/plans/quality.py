@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.operators import tally
 from strandline.plans import bindings as b
 from strandline.plans.registry import query
+from strandline.session import scratch
 from strandline.sources import diagnose, readers, writers
 
 
@@ -25,8 +26,8 @@ def _files(spark, d):
 
 @query(
     "csv_diagnostics",
-    """SELECT o_orderstatus || '.csv' AS path, CASE o_orderkey % 200 WHEN 1 THEN 'coordinate_not_numeric' WHEN 51 THEN 'coordinate_out_of_range' ELSE 'coordinate_missing' END AS category, count(*) AS n FROM orders WHERE o_orderkey % 50 = 1 AND o_orderkey % 200 IN (1, 51, 101) GROUP BY 1, 2
-    UNION ALL SELECT DISTINCT o_orderstatus || '.csv', 'missing_column', 1 FROM orders WHERE o_orderkey % 50 = 1""",
+    """SELECT o_orderstatus || '.csv' AS path, CASE o_orderkey % 200 WHEN 1 THEN 'coordinate_not_numeric' WHEN 51 THEN 'coordinate_out_of_range' ELSE 'coordinate_missing' END AS category, count(*) AS n FROM orders WHERE o_orderkey % 200 IN (1, 51, 101) GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT o_orderstatus || '.csv', 'missing_column', 1 FROM orders""",
 )
 def csv_diagnostics(spark, d):
     issues = diagnose.inspect(_files(spark, d), ["JASID", "LGC"]).withColumn("path", F.substring_index("path", "/", 1))
@@ -35,10 +36,23 @@ def csv_diagnostics(spark, d):
     return issues.groupBy("path", "category").agg((F.count("record_number") + once).alias("n"))
 
 
-# SRC3
-@query("encoding_sniff", "SELECT DISTINCT o_orderstatus || '.csv' AS path, 'utf-8' AS encoding, false AS bom FROM orders WHERE o_orderkey % 50 = 1")
+# SRC3: of each span of orders a file in each encoding: with a mark, in the older Japanese one, and broken
+_MARKS = {"F": ("EFBBBF", ""), "O": ("", "82A0"), "P": ("", "81FF")}
+
+
+@query(
+    "encoding_sniff",
+    """SELECT o_orderstatus || '.csv/' || (o_orderkey // 10000) AS path, CASE o_orderstatus WHEN 'F' THEN 'utf-8-sig' WHEN 'O' THEN 'cp932' WHEN 'P' THEN 'unknown' ELSE 'utf-8' END AS encoding, o_orderstatus = 'F' AS bom FROM orders GROUP BY ALL
+    UNION ALL SELECT DISTINCT o_orderstatus || '.plain/' || (o_orderkey // 10000), 'utf-8', false FROM orders""",
+)
 def encoding_sniff(spark, d):
-    return readers.sniff_encodings(_files(spark, d)).withColumn("path", F.substring_index("path", "/", 1)).distinct()
+    files = _files(spark, d)
+    head, tail = F.lit(b""), F.lit(b"")
+    for status, (before, after) in _MARKS.items():
+        head = F.when(F.col("path").startswith(status), F.unhex(F.lit(before))).otherwise(head)
+        tail = F.when(F.col("path").startswith(status), F.unhex(F.lit(after))).otherwise(tail)
+    plain = files.withColumn("path", F.regexp_replace("path", r"\.csv/", ".plain/"))
+    return readers.sniff_encodings(files.withColumn("content", F.concat(head, "content", tail)).unionByName(plain))
 
 
 # One long table of summaries
@@ -61,7 +75,11 @@ def unique_key_audit(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-# SNK10, SNK11
-@query("output_audit", "SELECT * FROM (VALUES ('orders.parquet', true), ('register.csv', false)) t(name, found)")
+# SNK10, SNK11: a folder for each status that was written, and the status that never is
+@query("output_audit", "SELECT 'o_orderstatus=' || o_orderstatus AS name, true AS found FROM orders GROUP BY 1 UNION ALL SELECT 'o_orderstatus=X', false")
 def output_audit(spark, d):
-    return writers.output_audit(spark, ["orders.parquet", "register.csv"], d)
+    counts = b.table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    folder = scratch(spark, "audit")
+    counts.write.partitionBy("o_orderstatus").parquet(folder)
+    expected = [f"o_orderstatus={r[0]}" for r in counts.select("o_orderstatus").collect()]  # three statuses
+    return writers.output_audit(spark, [*expected, "o_orderstatus=X"], folder)
