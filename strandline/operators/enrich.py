@@ -151,25 +151,44 @@ def match_status(points: DataFrame, hits: DataFrame, legend: DataFrame, id_col:
     return joined.select(id_col, n("feature_n").alias("feature_match_n"), n("code_n").alias("unique_code_n"), blank(F.col("codes")).alias("landform_code"), blank(F.col("classes")).alias("landform_class"), status.alias("match_status"))
 
 
+def edges_of(polygons: DataFrame, id_col: str = "polygon_id") -> DataFrame:
+    """``(id_col, x1, y1, x2, y2)``: the edges of all rings."""
+    ring = F.col("ring")
+    nxt = lambda i: F.element_at(ring, F.when(i + 1 == F.size(ring), F.lit(1)).otherwise(i + 2))
+    pairs = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), nxt(i)["x"].alias("x2"), nxt(i)["y"].alias("y2")))
+    return polygons.select(id_col, F.explode("rings").alias("ring")).select(id_col, F.explode(pairs).alias("e")).select(id_col, "e.*")
+
+
 def label_polygons(labels: DataFrame, polygons: DataFrame, cell: float, id_col: str = "label_id") -> DataFrame:
-    """For each label the smallest polygon that holds it, else the one with the nearest corner (``how``)."""
-    sized = polygons.withColumn("__area", F.aggregate("rings", F.lit(0.0), lambda s, r: F.greatest(s, ring_area(r))))
-    inside = points_in_polygons(labels, sized, cell, id_col)
+    """For each label the smallest polygon that holds it, else the one with the nearest edge (``how``); ties by id.
+
+    The nearest corner bounds how far the nearest edge can be.  Labels are sorted by that
+    reach into classes that double from ``cell`` on, and meet the edges on cells of their class,
+    so a far label does not widen the search of the others.
+    """
+    area = F.aggregate("rings", F.lit(0.0), lambda s, r: F.greatest(s, ring_area(r))).cast("float")  # areas that differ by rounding are equal
+    inside = points_in_polygons(labels, polygons.withColumn("__area", area), cell, id_col)
     first = inside.groupBy(id_col).agg(F.min(F.struct("__area", "polygon_id"))["polygon_id"].alias("polygon_id"))
     rest = labels.join(first, id_col, "left_anti")
-    corners = polygons.select("polygon_id", F.explode(F.flatten("rings")).alias("c")).select("polygon_id", F.col("c.x").alias("x2"), F.col("c.y").alias("y2"))
+    edges = edges_of(polygons)
     from strandline.operators.neighbours import nearest_distance
 
-    far = nearest_distance(rest.select(id_col, "x", "y"), corners.select(F.col("polygon_id").alias(id_col), F.col("x2").alias("x"), F.col("y2").alias("y")), id_col).withColumnRenamed("id", id_col)
-    # the distance is known: the corner at it lies in one of the cells around
-    near = rest.join(far, id_col).select(id_col, "x", "y", "d")
-    reach = near.agg(F.max("d")).first()[0] or 0.0
-    size = max(reach * 1.000001, 1e-12)
-    spread = near.select(id_col, "x", "y", "d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s"))
-    keyed = spread.select(id_col, "x", "y", "d", (F.floor(F.col("x") / size) + F.col("s.i")).alias("cx"), (F.floor(F.col("y") / size) + F.col("s.j")).alias("cy"))
-    cells = corners.select("polygon_id", "x2", "y2", F.floor(F.col("x2") / size).alias("cx"), F.floor(F.col("y2") / size).alias("cy"))
-    gap = F.sqrt((F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2)
-    second = keyed.join(cells, ["cx", "cy"]).where(gap <= F.col("d") * 1.000000001 + 1e-15).groupBy(id_col).agg(F.min("polygon_id").alias("polygon_id"))
+    far = nearest_distance(rest.select(id_col, "x", "y"), edges.select(F.lit(0).alias(id_col), F.col("x1").alias("x"), F.col("y1").alias("y")), id_col).withColumnRenamed("id", id_col)
+    step = F.greatest(F.ceil(F.log2(F.greatest(F.col("d") / cell, F.lit(1e-9)))), F.lit(0)).cast("int")
+    near = rest.join(far, id_col).select(id_col, "x", "y", step.alias("step"))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("step"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = near.select(id_col, "x", "y", "step", F.explode(around).alias("s"))
+    keyed = spread.select(id_col, "x", "y", "step", (F.floor(F.col("x") / size) + F.col("s.i")).alias("cx"), (F.floor(F.col("y") / size) + F.col("s.j")).alias("cy"))
+    touched = lambda a, z: F.explode(F.sequence(F.floor(F.least(a, z) / size), F.floor(F.greatest(a, z) / size)))
+    steps = near.select("step").distinct()  # a row for each doubling
+    covered = edges.join(F.broadcast(steps)).withColumn("cx", touched("x1", "x2")).withColumn("cy", touched("y1", "y2"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.when(dx * dx + dy * dy > 0, ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)).otherwise(0.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    gap = F.hypot(F.col("x1") + t * dx - F.col("x"), F.col("y1") + t * dy - F.col("y"))
+    met = keyed.join(covered, ["step", "cx", "cy"]).groupBy(id_col, "polygon_id").agg(F.min(gap).alias("gap"))
+    second = met.groupBy(id_col).agg(F.min(F.struct(F.round("gap", 12).alias("gap"), "polygon_id"))["polygon_id"].alias("polygon_id"))
     return first.withColumn("how", F.lit("contains")).unionByName(second.withColumn("how", F.lit("nearest")))
 
 

@@ -1,20 +1,30 @@
 """Neighbour graphs of points: k nearest and distance bands, by grid cells.
 
-No join is over all pairs.  The k-nearest search joins each open point to the points
+No join is over all pairs.  The k-nearest search joins each open place to those
 of the nine cells around it and closes it once its k-th distance is within the cell
-size, which proves that no nearer point lies outside; points that stay open go on with
-cells twice as wide.
+size, which proves that no nearer one lies outside; places that stay open go on with
+cells twice as wide.  Each place starts with cells of a size that follows from how dense a
+bounded sample is around it, so that neither towns nor outliers put many points in one
+cell, and points at one place count as one: only their k + 1 smallest ids can be neighbours.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import checkpointed
 
+#: Points of the sample that tells how dense places are, the finest cells (halvings of the bounds), and those told apart at once.
+SAMPLE, FINEST, SALTS = 50_000, 44, 64
+#: Share of a cell's size within which neighbours are proven; the rest is for rounding in the finest cells.
+SURE = 0.9
+
 
 def _around(frame: DataFrame, size: float, *kept: str) -> DataFrame:
     """``frame`` once for each of the nine cells around its point."""
@@ -34,38 +44,111 @@ def _d2():
     return dx * dx + dy * dy
 
 
+def _known(points: DataFrame, id_col: str) -> DataFrame:
+    # adding zero makes one zero of both
+    return checkpointed(points.select(F.col(id_col).alias("id"), (F.col("x").cast("double") + 0.0).alias("x"), (F.col("y").cast("double") + 0.0).alias("y")).dropna())
+
+
+def _places(known: DataFrame, most: int) -> DataFrame:
+    """``(x, y, to_id)``: the ``most`` smallest ids at each place, found salt by salt so that a crowded place is split."""
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    part = Window.partitionBy("x", "y", "salt").orderBy("id")
+    whole = Window.partitionBy("x", "y").orderBy("id")
+    some = salted.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
+    return checkpointed(some.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= most).select("x", "y", F.col("id").alias("to_id")))
+
+
+def _with_levels(places: DataFrame, crowd: DataFrame, wanted: int, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """``places`` ``(x, y, ...)`` with ``level``: how often to halve the bounds for cells that hold some ``wanted`` of ``crowd``.
+
+    The driver gets a bounded sample of ``crowd`` (``x, y``); what it says bears on the cost only.
+    """
+    x0, y0, width, n = bounds
+    every = max(1, int(n // SAMPLE))
+    some = crowd.where(F.pmod(F.xxhash64("x", "y"), F.lit(every)) == 0).select("x", "y").limit(4 * SAMPLE).toPandas().to_numpy(float)
+    least = max(2, wanted if every == 1 else 4)
+
+    def keys(xy: np.ndarray, level: int) -> np.ndarray:
+        at = np.floor((xy - [x0, y0]) * (2.0**level / width)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            return at[:, 0] * np.int64(-7046029254386353131) + at[:, 1]  # cells that meet by chance only start too fine
+
+    tables = []
+    for level in range(FINEST + 1):
+        found, counts = np.unique(keys(some, level), return_counts=True)
+        if not (counts >= least).any():
+            break
+        tables.append((found[counts >= least], counts[counts >= least]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xy = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(float) for c in ("x", "y")], axis=1)
+            level = np.zeros(len(xy), np.int32)
+            for i, (cells, counts) in enumerate(tables):
+                own = keys(xy, i)
+                at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+                finer = np.floor(np.log2(np.maximum(counts * every / max(1, 2 * wanted), 1)) / 2).astype(np.int32) if every > 1 else np.zeros(len(counts), np.int32)
+                level = np.where(cells[at] == own, np.minimum(i + finer[at], FINEST), level)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level.astype(np.int32))], [*batch.schema.names, "level"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema.fields)
+    return checkpointed(places.mapInArrow(run, f"{kinds}, level int"))
+
+
+def _bounds(frame: DataFrame) -> tuple[float, float, float, float]:
+    n, x0, x1, y0, y1 = frame.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return x0 or 0.0, y0 or 0.0, max((x1 or 0.0) - (x0 or 0.0), (y1 or 0.0) - (y0 or 0.0), 1e-9) * 1.0000001, n
+
+
+def _cell(axis: str, low: float, width: float) -> Column:
+    return F.floor((F.col(axis) - low) * (F.pow(F.lit(2.0), F.col("level")) / width))
+
+
+def _round(open_: DataFrame, crowd: DataFrame, bounds: tuple[float, float, float, float], *kept: str) -> DataFrame:
+    """Places of ``open_`` (with ``level``) met with those of ``crowd`` ``(x, y, ...)`` in the nine cells around them.
+
+    A place of level 0 meets all: its nine cells hold the bounds.
+    """
+    x0, y0, width, _ = bounds
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    here = open_.select(*kept, "level", _cell("x", x0, width).alias("cx"), _cell("y", y0, width).alias("cy"), F.explode(shifts).alias("s"))
+    here = here.select(*kept, "level", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    levels = open_.select("level").distinct()  # at most FINEST rows
+    rest = [c for c in crowd.columns if c not in ("x", "y")]
+    there = crowd.join(F.broadcast(levels)).select("level", _cell("x", x0, width).alias("cx"), _cell("y", y0, width).alias("cy"), F.col("x").alias("x2"), F.col("y").alias("y2"), *rest)
+    return here.join(there, ["level", "cx", "cy"])
+
+
 def knn(points: DataFrame, k: int, id_col: str = "point_id") -> DataFrame:
     """``(from_id, to_id, d, rank)``: the k nearest other points, ties by id; all others if there are no more than k.
 
     Coincident points are neighbours at distance 0.  Rows with a null id or
     coordinate are left out.
     """
-    known = checkpointed(points.select(F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna())
-    n, x0, x1, y0, y1 = known.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    known = _known(points, id_col)
+    bounds = _bounds(known)
+    n, width = bounds[3], bounds[2]
     k = min(k, n - 1)
     kind = known.schema["id"].dataType.simpleString()
     if k < 1:
         return points.sparkSession.createDataFrame([], f"from_id {kind}, to_id {kind}, d double, rank int")
-    width = max(x1 - x0, y1 - y0)
-    size = max(width * math.sqrt((k + 1) / n) / 2, width / 2**30, 1e-12)
-    open_, parts = known, []
-    w = Window.partitionBy("id").orderBy("d2", "to_id")
+    crowd = _places(known, k + 1)
+    open_, parts = _with_levels(crowd.select("x", "y").distinct(), crowd, k + 1, bounds), []
+    w = Window.partitionBy("x", "y").orderBy("d2", "to_id")
     while True:
-        whole = size > width  # nine cells of this size hold all points
-        found = (
-            _around(open_, size, "id", "x", "y").join(_cells(known, size), ["cx", "cy"]).where("id <> to_id").withColumn("d2", _d2())
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "to_id", "d2", "rank")
-        )
-        found = checkpointed(found)
-        proven = found.where(F.col("rank") == k).where(F.lit(True) if whole else F.sqrt("d2") <= size).select("id")
-        parts.append(found.join(proven, "id", "left_semi"))
-        open_ = checkpointed(open_.join(proven, "id", "left_anti"))
-        if whole or open_.isEmpty():
+        met = _round(open_, crowd, bounds, "x", "y").withColumn("d2", _d2())
+        found = checkpointed(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1).select("x", "y", "level", "to_id", "d2", "rank"))
+        size = F.lit(width) / F.pow(F.lit(2.0), F.col("level"))
+        proven = found.where(F.col("rank") == k + 1).where((F.col("level") == 0) | (F.sqrt("d2") <= SURE * size)).select("x", "y")
+        parts.append(found.join(proven, ["x", "y"], "left_semi").drop("level"))
+        open_ = checkpointed(open_.join(proven, ["x", "y"], "left_anti").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0))))
+        if open_.isEmpty():
             break
-        size *= 2
-    out = parts[0]
+    near = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        near = near.unionByName(p)
+    own = Window.partitionBy("id").orderBy("d2", "to_id")
+    out = known.join(near.drop("rank"), ["x", "y"]).where("id <> to_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select(F.col("id").alias("from_id"), "to_id", F.sqrt("d2").alias("d"), "rank")
 
 
@@ -103,24 +186,20 @@ def diagnostics(points: DataFrame, edges: DataFrame, id_col: str = "point_id", f
 
 def nearest_distance(points: DataFrame, others: DataFrame, id_col: str = "point_id") -> DataFrame:
     """``(id, d)``: distance from each point to the nearest of ``others``; cells widen until one is proven nearest."""
-    a = checkpointed(points.select(F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna())
-    z = checkpointed(others.select(F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna())
-    n, x0, x1, y0, y1 = a.select("id", "x", "y").unionByName(z).agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    a, z = _known(points, id_col), checkpointed(_known(others, id_col).select("x", "y").distinct())
     kind = a.schema["id"].dataType.simpleString()
     if z.isEmpty() or a.isEmpty():
         return points.sparkSession.createDataFrame([], f"id {kind}, d double")
-    width = max(x1 - x0, y1 - y0)
-    size = max(width / math.sqrt(n), 1e-12)
-    open_, parts = a, []
+    bounds = _bounds(a.select("x", "y").unionByName(z))
+    open_, parts = _with_levels(a, z, 1, bounds), []
     while True:
-        whole = size > width
-        near = checkpointed(_around(open_, size, "id", "x", "y").join(_cells(z, size), ["cx", "cy"]).groupBy("id").agg(F.sqrt(F.min(_d2())).alias("d")))
-        done = near if whole else near.where(F.col("d") <= size)
+        size = F.lit(bounds[2]) / F.pow(F.lit(2.0), F.col("level"))
+        near = checkpointed(_round(open_, z, bounds, "id", "x", "y").groupBy("id", "level").agg(F.sqrt(F.min(_d2())).alias("d")))
+        done = near.where((F.col("level") == 0) | (F.col("d") <= SURE * size)).select("id", "d")
         parts.append(done)
-        open_ = checkpointed(open_.join(done, "id", "left_anti"))
-        if whole or open_.isEmpty():
+        open_ = checkpointed(open_.join(done, "id", "left_anti").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0))))
+        if open_.isEmpty():
             break
-        size *= 2
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

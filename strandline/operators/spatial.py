@@ -25,8 +25,8 @@ from strandline.operators.components import connected_components
 from strandline.session import checkpointed
 
 DRAWS, SEED, ALPHA = 999, 20260809, 0.05
-#: Most values of a model that local permutation draws from; beyond it they are an even, seeded sample of them.
-POOL = 10_000
+#: Most different values of a model that local permutation tells apart; with more of them, values are kept to so many parts of their range.
+VALUES = 1 << 20
 #: Points of a model that one task tests.
 PART = 50_000
 
@@ -113,12 +113,22 @@ def _seed(model: object, point: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{model}|{point}".encode(), digest_size=8).digest(), "little")
 
 
+def draw_others(rng: np.random.Generator, n: int, k: int, draws: int, own: int) -> np.ndarray:
+    """``draws`` sets of k different places of 0 to n - 1 without ``own``, each set equally likely (Floyd's method)."""
+    chosen = np.empty((draws, k), np.int64)
+    for m, top in enumerate(range(n - 1 - k, n - 1)):
+        at = rng.integers(0, top + 1, draws)
+        taken = (chosen[:, :m] == at[:, None]).any(axis=1)
+        chosen[:, m] = np.where(taken, top, at)
+    return chosen + (chosen >= own)
+
+
 def binary_permutation(edges: DataFrame, events: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """``join_count`` and ``gstar`` of 0/1 events with permutation p-values.
 
     Given the point, the events among its k neighbours follow a hypergeometric law
-    over the other points, so a permutation needs only counts: each row draws by
-    itself.  Columns: ``model_id, id, x, bb, p_join, p_join_bh, g_z, p_g, p_g_bh,
+    over the other points, so a permutation needs only counts: the points of a model
+    with equal counts share their draws, seeded by model and counts.  Columns: ``model_id, id, x, bb, p_join, p_join_bh, g_z, p_g, p_g_bh,
     class_join, class_g``.  Join counts are tested for events only, one-sided;
     G* for all, two-sided.  A model without contrast is not tested.
     """
@@ -133,16 +143,18 @@ def binary_permutation(edges: DataFrame, events: DataFrame, draws: int = DRAWS,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             p_join, p_g = np.full(len(f), np.nan), np.full(len(f), np.nan)
-            columns = zip(f["model_id"], f["id"], f["x"], f["n_neighbours"], f["__n"], f["__e"], f["__near"], strict=True)
-            for i, (m, point, x, k, n, e, near_) in enumerate(columns):
-                if not 0 < e < n or k < 1:
-                    continue
-                others = int(e - x)
-                drawn = np.random.default_rng(_seed(m, point, seed)).hypergeometric(others, int(n - 1 - others), int(min(k, n - 1)), draws)
-                if x == 1:
-                    p_join[i] = (1 + (drawn >= near_).sum()) / (draws + 1)
-                above = (drawn >= near_).sum()
-                p_g[i] = min(1.0, 2 * (1 + min(above, (drawn <= near_).sum())) / (draws + 1))
+            k = np.minimum(f["n_neighbours"].to_numpy(np.int64), f["__n"].to_numpy(np.int64) - 1)
+            others = f["__e"].to_numpy(np.int64) - f["x"].to_numpy(np.int64)
+            tested = (f["__e"] > 0) & (f["__e"] < f["__n"]) & (k >= 1)
+            # points of a model with equal counts share their draws
+            for (m, n, o, size), rows in f[tested].assign(__k=k[tested], __o=others[tested]).groupby(["model_id", "__n", "__o", "__k"]).indices.items():
+                at = np.nonzero(tested.to_numpy())[0][rows]
+                rng = np.random.default_rng(_seed(m, f"{n}|{o}|{size}", seed))
+                drawn = np.sort(rng.hypergeometric(int(o), int(n - 1 - o), int(size), draws))
+                near_ = f["__near"].to_numpy()[at]
+                above, below = draws - np.searchsorted(drawn, near_, side="left"), np.searchsorted(drawn, near_, side="right")
+                p_join[at] = np.where(f["x"].to_numpy()[at] == 1, (1 + above) / (draws + 1), np.nan)
+                p_g[at] = np.minimum(1.0, 2 * (1 + np.minimum(above, below)) / (draws + 1))
             yield pd.DataFrame({"model_id": f["model_id"], "id": f["id"], "p_join": p_join, "p_g": p_g})
 
     tested = rows.select("model_id", "id", "x", "n_neighbours", "__n", "__e", "__near").mapInPandas(run, f"model_id {model}, id {kind}, p_join double, p_g double")
@@ -153,33 +165,42 @@ def binary_permutation(edges: DataFrame, events: DataFrame, draws: int = DRAWS,
     return out.select("model_id", "id", "x", "bb", "p_join", "p_join_bh", "g_z", "p_g", "p_g_bh", class_join.alias("class_join"), class_g.alias("class_g"))
 
 
-def lisa_permutation(edges: DataFrame, values: DataFrame, draws: int = DRAWS, seed: int = SEED, pool: int = POOL, part: int = PART) -> DataFrame:
+def lisa_permutation(edges: DataFrame, values: DataFrame, draws: int = DRAWS, seed: int = SEED, most: int = VALUES, part: int = PART) -> DataFrame:
     """``local_moran`` with conditional permutation p (two-sided), BH, and the class of significant points.
 
-    A model's points are dealt into tasks of about ``part``; each has the ``pool``
-    values to draw from, all of the model's values if it has no more.
+    Given a point, its neighbours' values are drawn from those of all other points of the model,
+    without replacement.  A model's points are dealt into tasks of about ``part``; each has all of the
+    model's values, as counts of the different ones.  Where these exceed ``most``, values that share
+    one of ``most`` equal parts of the range stand in with their mean, which moves a value by less than that part.
     """
     base = checkpointed(local_moran(edges, values))
     k = edges.groupBy("model_id", F.col("from_id").alias("id")).agg(F.count("*").alias("k"))
-    n = base.groupBy("model_id").agg(F.count("*").alias("__n"))
+    n = base.groupBy("model_id").agg(F.count("*").alias("__n"), F.min("z").alias("__lo"), F.max("z").alias("__hi"), F.approx_count_distinct("z").alias("__kinds"))
     parts = F.ceil(F.col("__n") / part).cast("int")
     sized = base.select("model_id", "id", "z", "lag").join(n, "model_id")
-    rows = sized.join(k, ["model_id", "id"], "left").select("model_id", "id", "z", "lag", F.coalesce("k", F.lit(0)).alias("k"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("__part"))
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn_from = sized.where(place * F.col("__n") < pool).select(F.col("model_id").alias("__model"), F.col("z").alias("__z"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__to"))
+    # half of `most`, as the count is approximate
+    bin_ = F.when(F.col("__kinds") > most / 2, F.floor((F.col("z") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (most - 1)).cast("double")).otherwise(F.col("z"))
+    sized = sized.withColumn("bin", bin_)
+    rows = sized.join(k, ["model_id", "id"], "left").select("model_id", "id", "z", "lag", "bin", F.coalesce("k", F.lit(0)).alias("k"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("__part"))
+    counts = sized.groupBy(F.col("model_id").alias("__model"), F.col("bin").alias("__bin"), parts.alias("__parts")).agg(F.avg("z").alias("__z"), F.count("*").alias("__c"))
+    drawn_from = counts.select("__model", "__bin", "__z", "__c", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__to"))
     kind, model = rows.schema["id"].dataType.simpleString(), rows.schema["model_id"].dataType.simpleString()
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        bag = np.sort(right["__z"].to_numpy(float))
+        right = right.sort_values("__bin")
+        bins, bag, ends = right["__bin"].to_numpy(float), right["__z"].to_numpy(float), np.cumsum(right["__c"].to_numpy(np.int64))
         p = np.full(len(left), np.nan)
-        if len(bag) > 2 and bag[0] < bag[-1]:
-            for i, (point, z, lag, k_) in enumerate(zip(left["id"], left["z"], left["lag"], left["k"], strict=True)):
-                if k_ < 1:
+        if len(bag) > 1:
+            total, owns = int(ends[-1]), ends[np.searchsorted(bins, left["bin"].to_numpy(float))] - 1
+            for i, (point, z, lag, k_, own) in enumerate(zip(left["id"], left["z"], left["lag"], left["k"], owns, strict=True)):
+                size = int(min(k_, total - 1))
+                if size < 1:
                     continue
                 rng = np.random.default_rng(_seed(key[0], point, seed))
-                sums = bag[rng.integers(0, len(bag), (draws, int(k_)))].mean(axis=1) * z
-                own = z * lag
-                p[i] = min(1.0, 2 * (1 + min((sums >= own).sum(), (sums <= own).sum())) / (draws + 1))
+                drawn = bag[np.searchsorted(ends, draw_others(rng, total, size, draws, int(own)), side="right")]
+                sums, seen = drawn.mean(axis=1) * z, z * lag
+                slack = 1e-12 * max(1.0, abs(seen))  # equal sums in another order
+                p[i] = min(1.0, 2 * (1 + min((sums >= seen - slack).sum(), (sums <= seen + slack).sum())) / (draws + 1))
         return pd.DataFrame({"model_id": key[0], "id": left["id"], "p_raw": p})
 
     tested = rows.groupBy("model_id", "__part").cogroup(drawn_from.groupBy("__model", "__to")).applyInPandas(run, f"model_id {model}, id {kind}, p_raw double")

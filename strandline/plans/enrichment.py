@@ -145,7 +145,12 @@ def landform_match(spark, d):
 
 
 # J12
-@query("label_polygons")
+@query(
+    "label_polygons",
+    f"""{_BOX}, ev AS (SELECT * FROM bx WHERE polygon_id % 2 = 0), inn AS (SELECT point_id, min(polygon_id) AS polygon_id FROM hit WHERE polygon_id % 2 = 0 GROUP BY 1),
+    far AS (SELECT point_id, polygon_id, row_number() OVER (PARTITION BY point_id ORDER BY round(sqrt(greatest(x0 - x, 0, x - x1) ** 2 + greatest(y0 - y, 0, y - y1) ** 2), 12), polygon_id) AS k FROM point CROSS JOIN ev WHERE point_id NOT IN (SELECT point_id FROM inn))
+    SELECT point_id AS label_id, polygon_id, 'contains' AS how FROM inn UNION ALL SELECT point_id, polygon_id, 'nearest' FROM far WHERE k = 1""",
+)
 def label_polygons(spark, d):
     labels = b.points(spark, d).select(F.col("point_id").alias("label_id"), "x", "y")
     return enrich.label_polygons(labels, _boxes(spark).where("polygon_id % 2 = 0"), 0.2)

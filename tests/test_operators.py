@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -338,3 +340,84 @@ def test_radiocarbon_intervals_of_every_customer(spark):
         rows = got[c.c_custkey]
         assert (min(r.to_bp for r in rows), max(r.from_bp for r in rows)) == (min(kept), max(kept))
         assert abs(sum(r.probability for r in rows) - held) < 1e-6
+
+
+def _crowded(rng):
+    town = [(rng.gauss(5, 1e-4), rng.gauss(5, 1e-4)) for _ in range(540)]
+    here = [(5.0, 5.0)] * 40
+    around = [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(59)]
+    xy = town + here + around + [(1e6, -3.0)]
+    return [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+
+
+@pytest.mark.parametrize("sample", [50_000, 60])
+def test_nearest_neighbours_of_a_town_and_an_outlier(spark, monkeypatch, sample):
+    monkeypatch.setattr(nb, "SAMPLE", sample)
+    rows = _crowded(random.Random(3))
+    points = spark.createDataFrame(rows, "point_id long, x double, y double")
+    got = {}
+    for r in nb.knn(points, 4).collect():
+        got.setdefault(r.from_id, []).append((r["rank"], r.to_id, r.d))
+    d2 = lambda a, z: (z[1] - a[1]) ** 2 + (z[2] - a[2]) ** 2
+    for a in rows:
+        want = sorted((d2(a, z), z[0]) for z in rows if z[0] != a[0])[:4]
+        assert [t for _, t, _ in sorted(got[a[0]])] == [t for _, t in want]
+    others = spark.createDataFrame(rows[::7], "point_id long, x double, y double")
+    for r in nb.nearest_distance(points, others).collect():
+        assert abs(r.d - min(d2(rows[r.id], z) for z in rows[::7]) ** 0.5) < 1e-9
+
+
+def test_crowded_cells_do_not_meet_all_pairs(spark):
+    rows = _crowded(random.Random(4))
+    points = spark.createDataFrame([(i + 600 * j, x + 1e-9 * j, y) for i, x, y in rows for j in range(10)], "point_id long, x double, y double")
+    known = nb._known(points, "point_id")
+    crowd = nb._places(known, 5)
+    bounds = nb._bounds(known)
+    levelled = nb._with_levels(crowd.select("x", "y").distinct(), crowd, 5, bounds)
+    assert nb._round(levelled, crowd, bounds, "x", "y").count() < 60 * 6400
+
+
+def test_local_permutation_agrees_with_all_permutations(spark):
+    values = [0.0, 1.0, 1.0, 2.5, 4.0, 4.5, 9.0, 11.0, 3.0]
+    edges = [(i, j) for i in range(9) for j in range(9) if i != j and abs(i - j) <= 2]
+    e = spark.createDataFrame([("m", a, b) for a, b in edges], "model_id string, from_id long, to_id long")
+    v = spark.createDataFrame([("m", i, x) for i, x in enumerate(values)], "model_id string, id long, x double")
+    draws = 4999
+    for most in (1 << 20, 8):
+        got = {r.id: r.p_raw for r in spatial.lisa_permutation(e, v, draws=draws, most=most).collect()}
+        if most == 8:  # values rounded to eight parts of the range
+            assert all(0 < p <= 1 for p in got.values())
+            continue
+        mean = sum(values) / 9
+        for i in range(9):
+            near = [values[b] - mean for a, b in edges if a == i]
+            rest = [x - mean for j, x in enumerate(values) if j != i]
+            own, z = sum(near) * (values[i] - mean), values[i] - mean
+            every = [sum(c) * z for c in itertools.combinations(rest, len(near))]
+            above, below = (sum(s >= own - 1e-9 for s in every) / len(every), sum(s <= own + 1e-9 for s in every) / len(every))
+            assert abs(got[i] - min(1.0, 2 * min(above, below))) < 0.05
+
+
+def test_draws_are_sets_of_others():
+    got = spatial.draw_others(np.random.default_rng(1), 6, 3, 20_000, 2)
+    assert all(len(set(row)) == 3 and 2 not in row and set(row) <= set(range(6)) for row in got.tolist())
+    counts = Counter(tuple(sorted(row)) for row in got.tolist())
+    assert len(counts) == 10 and all(abs(n / 2000 - 1) < 0.15 for n in counts.values())
+
+
+def test_binary_permutation_agrees_with_the_hypergeometric_tail(spark):
+    n, marks = 40, [1] * 12 + [0] * 28
+    edges = [("m", i, (i + s) % n) for i in range(n) for s in (1, 2, 3, -1, -2, -3)]
+    e = spark.createDataFrame(edges, "model_id string, from_id long, to_id long")
+    v = spark.createDataFrame([("m", i, x) for i, x in enumerate(marks)], "model_id string, id long, x int")
+    for r in spatial.binary_permutation(e, v, draws=9999).where("x = 1").collect():
+        tail = sum(math.comb(11, j) * math.comb(28, 6 - j) for j in range(r.bb, 7)) / math.comb(39, 6)
+        assert abs(r.p_join - tail) < 0.02
+
+
+def test_labels_go_to_the_nearest_edge_not_corner(spark):
+    ring = lambda x0, y0, x1, y1: [[{"x": x0, "y": y0}, {"x": x1, "y": y0}, {"x": x1, "y": y1}, {"x": x0, "y": y1}]]
+    polygons = spark.createDataFrame([(1, ring(-100.0, 0.0, 100.0, 1.0)), (2, ring(-1.0, 4.0, 1.0, 5.0))], "polygon_id int, rings array<array<struct<x:double,y:double>>>")
+    labels = spark.createDataFrame([(1, 0.0, 2.0), (2, 0.0, 3.5), (3, 0.0, 0.5), (4, 5e4, 0.0), (5, 0.0, -1e3)], "label_id int, x double, y double")
+    got = {r.label_id: (r.polygon_id, r.how) for r in enrich.label_polygons(labels, polygons, 2.0).collect()}
+    assert got == {1: (1, "nearest"), 2: (2, "nearest"), 3: (1, "contains"), 4: (1, "nearest"), 5: (1, "nearest")}
