@@ -64,14 +64,18 @@ class WordTokenizer:
         self.starts = np.zeros(2, np.int64)
 
     @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        if "<|" in word:  # may be a special token, which is matched before case is folded
-            return word, ""
-        if word.isascii():
-            word = word.lower()
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2] in _ASCII_LETTERS:
-            return word[:-1], word[-1]
-        return word, ""
+    def parts(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """The words in lower case without a closing sign that follows a letter, and that sign or nothing.
+
+        What holds "<|" may be a special token, which is matched before case is folded, and stays as it is.
+        """
+        special = pc.match_substring(words, "<|")
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(special))
+        folded = pc.if_else(plain, pc.ascii_lower(words), words)
+        closed = pc.and_(pc.match_substring_regex(folded, r"[A-Za-z][.,;:!?]\z"), pc.invert(special))
+        bare = pc.if_else(closed, pc.utf8_slice_codeunits(folded, 0, -1), folded)
+        signs = pc.if_else(closed, pc.utf8_slice_codeunits(folded, -1), "")
+        return bare.dictionary_encode(), signs.dictionary_encode()
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -101,14 +105,15 @@ class WordTokenizer:
         """Ids of all texts, one after the other, and where each text's ids begin (and the last ends)."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        parts = [part for word in coded.dictionary.to_pylist() for part in self._parts(word)]
         known, base = self.known, len(self.starts) - 1
-        new = sorted(dict.fromkeys(p for p in parts if p not in known), key=str.isalpha)
+        both = [(part.dictionary.to_pylist(), part.indices.to_numpy()) for part in self.parts(coded.dictionary)]
+        new = sorted(dict.fromkeys(p for part, _ in both for p in part if p not in known), key=str.isalpha)
         flat, lengths = self._encode(new)
         ids = np.concatenate([self.ids, flat])
         starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         fresh = dict(zip(new, range(base, base + len(new)), strict=True))
-        place = np.fromiter((known[p] if p in known else fresh[p] for p in parts), np.int64, len(parts))
+        found = [np.array([known[p] if p in known else fresh[p] for p in part], np.int64)[at] for part, at in both]
+        place = np.stack(found, axis=1).ravel()
         spare = max(0, min(len(new), REMEMBERED - len(known)))
         if spare:  # parts met first stay known; most words of a text are among them
             known.update(zip(new[:spare], range(base, base + spare), strict=True))
