@@ -426,7 +426,11 @@ def identify(
 
 
 def switches(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, first_word, n_words, lang)``: runs of words of one language in each text."""
+    """``(id_col, first_word, n_words, lang)``: runs of words of one language in each text.
+
+    Null texts and texts without a word give no row; ids may be null or repeat; an empty
+    table gives an empty result; other columns are not read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,7 +152,9 @@ def pieces(
     """``(id, piece, start, length, ids_crc32, salt)``: each document's ids and ``end_id``, cut at ``capacity``.
 
     ``ids_crc32`` is over the ids as little-endian unsigned 32-bit integers.
-    ``salt`` is a row number that tells repeated rows apart.
+    ``salt`` is a row number that tells repeated rows apart.  A null or empty text is
+    ``end_id`` alone; ids may be null or repeat; an empty table gives an empty result;
+    other columns are not read.
     """
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -104,17 +106,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further candidates that overlap no base span."""
-    out = []
+    """Further candidates that overlap no base span and none of a kind before theirs."""
+    out: list[tuple[str, int, int]] = []
     taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
     for kind, pattern in _LOOSE.items():
-        if _LOOSE_HINT[kind].search(text):
-            for m in pattern.finditer(text):
-                i = int(np.searchsorted(starts, m.end())) if starts else 0
-                free = not any(b > m.start() for _, b in taken[max(0, i - 4) : i])
-                if free and (kind != "card" or luhn(re.sub("[ -]", "", m[0]))):
-                    out.append((kind, *m.span()))
+        if not _LOOSE_HINT[kind].search(text):
+            continue
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        own = []
+        for m in pattern.finditer(text):
+            before = bisect_left(starts, m.end())  # spans that begin before this one ends
+            if (not before or reach[before - 1] <= m.start()) and (kind != "card" or luhn(re.sub("[ -]", "", m[0]))):
+                own.append(m.span())
+        out += [(kind, *span) for span in own]
+        taken = sorted(taken + own)
     return out
 
 
@@ -264,7 +269,8 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, id_c
 
     Overlapping spans are replaced together, named after the first.  The columns
     of ``docs`` stay as they are otherwise; ``n_chars``, where there is one, counts
-    the new text.  A null text stays null.
+    the new text.  A null text stays null, an empty one empty; ids are not read beyond the
+    search, so they may be null or repeat; an empty table gives an empty one.
     """
     found = candidates(docs, id_col, text_col)
     admitted = {f for f, p in fit_spans(found).items() if p >= threshold}

@@ -91,7 +91,6 @@ def rule_votes() -> dict[str, Column]:
     dup, repeat, variety = F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words, F.col("n_distinct") / words
     alpha, upper, digits = (F.col(n) / chars for n in ("n_alpha", "n_upper", "n_digits"))
     return {
-        "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 40),
         "sentences": _vote((end < 0.01) | (end > 0.7), end.between(0.03, 0.5)),
         "word_length": _vote((mean < 2.5) | (mean > 14)),
         "symbols": _vote(symbols > 0.2),
