@@ -217,10 +217,11 @@ def test_permutations_do_not_depend_on_partitions(spark):
     assert len(lisa) == len(rows) and all(0 < r.p_raw <= 1 for r in lisa)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, local):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(5, None), (7, 7)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a int, b int"), "a", "b", local).collect()}
     root = {}
 
     def find(x):
@@ -235,6 +236,15 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_structs(spark, local):
+    edges = [((True, None, 4), (False, 9, 1)), ((False, 9, 1), (False, 10, -5)), ((True, None, 7), (True, None, 6))]
+    node = "struct<none:boolean,id:bigint,fp:bigint>"
+    got = connected_components(spark.createDataFrame(edges, f"a {node}, b {node}"), "a", "b", local).collect()
+    assert {tuple(r.node): tuple(r.root) for r in got} == {n: (False, 9, 1) for n in (*edges[0], *edges[1])} | {n: (True, None, 6) for n in edges[2]}
+    assert connected_components(spark.createDataFrame([], f"a {node}, b {node}"), "a", "b", local).collect() == []
+
+
 def test_composition(spark):
     rows = [("s", 1, "a", 3), ("s", 1, "b", 1), ("s", 2, "a", 1), ("s", 2, "c", 1), ("s", 3, "c", 5)]
     counts = spark.createDataFrame(rows, "scheme string, phase_order int, unit_id string, presence_count int")
