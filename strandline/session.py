@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes shuffle files (and, where the
+    cluster says so, checkpoints) of frames that nothing refers to any more.  Between the phases of a
+    long operator this keeps disks from holding all phases at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the checkpoint folder."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
