@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import map_batches, raw, sliced, words_of
-from strandline.session import checkpointed
+from strandline.session import checkpointed, let_go
 
 #: Words of a shingle, keys of a text and minima in a key.
 WIDE, BANDS, ROWS = 5, 16, 5
@@ -190,6 +190,7 @@ def similar(single: DataFrame, texts: DataFrame, rooted: Callable[[], DataFrame]
     if held.count() > needed.count():  # rows that repeat id and text
         held = checkpointed(held.dropDuplicates(["h"]))
 
+    let_go(single.sparkSession)
     # a text whose keys many others have is met by all that have one
     score = rows.groupBy("h").agg(F.sum("n").alias("score"))
     hubs = rows.join(score, "h").groupBy("bucket").agg(F.max(F.struct("score", F.xxhash64("h").alias("o"), "h", "mark")).alias("hub"))

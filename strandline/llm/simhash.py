@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import map_batches, raw, words_of
 from strandline.llm.likeness import LIKE, band_keys, shingles_of, similar, tiles
 from strandline.operators.components import connected_components
-from strandline.session import checkpointed
+from strandline.session import checkpointed, let_go
 
 BITS, RADIUS, LEVELS = 64, 3, 3
 #: Most different fingerprints that a bucket compares directly.
@@ -322,6 +322,7 @@ def grouped(
         if wide is not None:
             edges = edges.unionByName(star_links(wide))
     rooted = _rooted(firsts, edges)
+    let_go(docs.sparkSession)
     if wide is not None:
         rooted = _joined(rooted, wide_links(wide, rooted, limit=bucket))
     if like is not None:
@@ -331,6 +332,7 @@ def grouped(
         single = checkpointed(ones.select("h", "fp", "id", "keys").dropDuplicates(["h"]))
         for edges in similar(single, texts.select("id.h", "id.id", "text"), lambda: rooted, like):
             rooted = _joined(rooted, edges)
+            let_go(docs.sparkSession)
     return own, rooted
 
 
