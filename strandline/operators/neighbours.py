@@ -163,6 +163,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("from_id < to_id")
 
 
+def edge_lines(edges: DataFrame, points: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """``(from_id, to_id, d, wkt)``: each undirected edge once, as a line in well-known text, ready for a text or vector writer."""
+    ends = lambda side, n: points.select(F.col(id_col).alias(side), F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias(f"p{n}"))
+    joined = undirected(edges).join(ends("from_id", 1), "from_id").join(ends("to_id", 2), "to_id")
+    return joined.select("from_id", "to_id", "d", F.concat(F.lit("LINESTRING ("), "p1", F.lit(", "), "p2", F.lit(")")).alias("wkt"))
+
+
 def within(points: DataFrame, band: float, id_col: str = "point_id") -> DataFrame:
     """``(from_id, to_id, d)``: pairs no further apart than ``band``, in both directions."""
     known = points.select(F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()

@@ -101,6 +101,15 @@ def nearest_neighbour_index(distances: DataFrame, area: float) -> DataFrame:
     return distances.agg(F.count("*").alias("n"), F.avg("d").alias("mean_distance"), expected.alias("expected"), F.try_divide(F.avg("d"), expected).alias("index"))
 
 
+def hull_window_index(points: DataFrame, distances: DataFrame) -> DataFrame:
+    """``nearest_neighbour_index`` of nearest distances ``d`` with the convex hull of ``points`` as the window."""
+    area = hulls(points.select(F.lit(0).alias("window"), "x", "y"), "window").agg(F.coalesce(F.max("area"), F.lit(0.0)).alias("area"))
+    n, mean = F.count("*"), F.avg("d")
+    found = distances.agg(n.alias("n"), mean.alias("mean_distance")).crossJoin(area)  # one row each
+    expected = 0.5 * F.sqrt(F.try_divide(F.col("area"), F.col("n")))
+    return found.select("n", "mean_distance", expected.alias("expected"), F.try_divide(F.col("mean_distance"), expected).alias("index"))
+
+
 def affine_fit(pairs: DataFrame, key: str) -> DataFrame:
     """Affine map from (sx, sy) to (tx, ty) for each group by least squares: six coefficients, RMSE, largest residual.
 
@@ -114,6 +123,22 @@ def affine_fit(pairs: DataFrame, key: str) -> DataFrame:
     solve = lambda p, q: ((p * F.col("yy") - q * F.col("xy")) / det, (q * F.col("xx") - p * F.col("xy")) / det)
     (a, b_), (c, d_) = solve(F.col("xu"), F.col("yu")), solve(F.col("xv"), F.col("yv"))
     fit = m.where(det > 1e-12).select(key, "n", a.alias("a"), b_.alias("b"), (F.col("tx") - a * F.col("sx") - b_ * F.col("sy")).alias("e"), c.alias("c"), d_.alias("d"), (F.col("ty") - c * F.col("sx") - d_ * F.col("sy")).alias("f"))
+    return _with_errors(pairs, fit, key)
+
+
+def similarity_fit(pairs: DataFrame, key: str) -> DataFrame:
+    """As ``affine_fit``, but only turned, scaled by one factor and moved: a = d and b = -c.
+
+    Least squares over all pairs; two different points are enough.
+    """
+    m = pairs.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("sx", "sy", "tx", "ty")], (F.var_pop("sx") + F.var_pop("sy")).alias("spread"),
+        (F.covar_pop("sx", "tx") + F.covar_pop("sy", "ty")).alias("along"), (F.covar_pop("sx", "ty") - F.covar_pop("sy", "tx")).alias("across"))
+    p, q = F.col("along") / F.col("spread"), F.col("across") / F.col("spread")
+    fit = m.where("spread > 1e-12").select(key, "n", p.alias("a"), (-q).alias("b"), (F.col("tx") - p * F.col("sx") + q * F.col("sy")).alias("e"), q.alias("c"), p.alias("d"), (F.col("ty") - q * F.col("sx") - p * F.col("sy")).alias("f"))
+    return _with_errors(pairs, fit, key)
+
+
+def _with_errors(pairs: DataFrame, fit: DataFrame, key: str) -> DataFrame:
     rows = pairs.join(fit, key)
     u, v = F.col("a") * F.col("sx") + F.col("b") * F.col("sy") + F.col("e") - F.col("tx"), F.col("c") * F.col("sx") + F.col("d") * F.col("sy") + F.col("f") - F.col("ty")
     errors = rows.groupBy(key).agg(F.sqrt(F.avg(u * u + v * v)).alias("rmse"), F.sqrt(F.max(u * u + v * v)).alias("max_residual"))

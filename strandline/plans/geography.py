@@ -44,6 +44,13 @@ def edge_table(spark, d):
     return nb.undirected(_edges(spark, d)).join(ends("from_id", 1), "from_id").join(ends("to_id", 2), "to_id").withColumn("d", F.round("d", 6))
 
 
+# Lines in millionths
+@query("edge_lines", f"WITH {b.SQL_POINT}, {_knn_sql(K)} SELECT from_id, to_id, round(d, 6) AS d, 'LINESTRING (' || floor(a.x * 1000000)::BIGINT || ' ' || floor(a.y * 1000000)::BIGINT || ', ' || floor(z.x * 1000000)::BIGINT || ' ' || floor(z.y * 1000000)::BIGINT || ')' AS wkt FROM edge JOIN point a ON a.point_id = from_id JOIN point z ON z.point_id = to_id WHERE from_id < to_id")
+def edge_lines(spark, d):
+    whole = b.points(spark, d).select("point_id", F.floor(F.col("x") * 1000000).alias("x"), F.floor(F.col("y") * 1000000).alias("y"))
+    return nb.edge_lines(_edges(spark, d), whole).withColumn("d", F.round("d", 6))
+
+
 # G20
 @query(
     "neighbour_diagnostics",
@@ -306,9 +313,14 @@ def kmeans_clusters(spark, d):
 
 
 # P3
-@query("convex_hulls")
+@query(
+    "convex_hulls",
+    f"""WITH {b.SQL_POINT}, e AS (SELECT a.label, a.x, a.y, z.x AS x2, z.y AS y2 FROM point a JOIN point z ON a.label = z.label AND (a.x <> z.x OR a.y <> z.y) WHERE NOT EXISTS (SELECT 1 FROM point k WHERE k.label = a.label AND (z.x - a.x) * (k.y - a.y) - (z.y - a.y) * (k.x - a.x) < 0))
+    SELECT label, round(x, 6) AS x, round(y, 6) AS y, round(sum(x * y2 - x2 * y) OVER (PARTITION BY label) / 2, 6) AS area FROM e""",
+)
 def convex_hulls(spark, d):
-    return pattern.hulls(b.points(spark, d), "label")
+    found = pattern.hulls(b.points(spark, d), "label")
+    return found.select("label", *[F.round(c, 6).alias(c) for c in ("x", "y", "area")])
 
 
 @query(
@@ -327,7 +339,21 @@ def nearest_neighbour_index(spark, d):
     return found.withColumns({c: F.round(c, 6) for c in ("mean_distance", "expected", "index")})
 
 
+# The convex hull as window
+@query("nearest_neighbour_hull")
+def nearest_neighbour_hull(spark, d):
+    p = b.points(spark, d)
+    return pattern.hull_window_index(p, nb.knn(p, 1))
+
+
 # K14
+@query("similarity_fit", f"WITH {b.SQL_POINT}, p AS (SELECT label, 1.2 * x - 0.5 * y + label AS tx, 0.5 * x + 1.2 * y - 3 AS ty FROM point) SELECT label, count(*) AS n, 1.2::DOUBLE AS a, -0.5::DOUBLE AS b, label::DOUBLE AS e, 0.5::DOUBLE AS c, 1.2::DOUBLE AS d, -3.0::DOUBLE AS f, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS max_residual FROM p GROUP BY label")
+def similarity_fit(spark, d):
+    x, y = F.col("x"), F.col("y")
+    pairs = b.points(spark, d).select("label", x.alias("sx"), y.alias("sy"), (1.2 * x - 0.5 * y + F.col("label")).alias("tx"), (0.5 * x + 1.2 * y - 3).alias("ty"))
+    return pattern.similarity_fit(pairs, "label").select("label", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("a", "b", "e", "c", "d", "f", "rmse", "max_residual")])
+
+
 @query("affine_fit", f"WITH {b.SQL_POINT}, p AS (SELECT label, x AS sx, y AS sy, 2 * x - 0.5 * y + label AS tx, 0.25 * x + 1.5 * y - 3 AS ty FROM point) SELECT label, count(*) AS n, 2.0::DOUBLE AS a, -0.5::DOUBLE AS b, label::DOUBLE AS e, 0.25::DOUBLE AS c, 1.5::DOUBLE AS d, -3.0::DOUBLE AS f, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS max_residual FROM p GROUP BY label")
 def affine_fit(spark, d):
     x, y = F.col("x"), F.col("y")

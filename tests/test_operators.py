@@ -431,3 +431,26 @@ def test_labels_go_to_the_nearest_edge_not_corner(spark):
     labels = spark.createDataFrame([(1, 0.0, 2.0), (2, 0.0, 3.5), (3, 0.0, 0.5), (4, 5e4, 0.0), (5, 0.0, -1e3)], "label_id int, x double, y double")
     got = {r.label_id: (r.polygon_id, r.how) for r in enrich.label_polygons(labels, polygons, 2.0).collect()}
     assert got == {1: (1, "nearest"), 2: (2, "nearest"), 3: (1, "contains"), 4: (1, "nearest"), 5: (1, "nearest")}
+
+
+def test_similarity_fit_is_the_least_squares_one(spark):
+    rng = np.random.default_rng(5)
+    s = rng.normal(size=(12, 2)) * 10
+    t = s @ np.array([[2.0, 0.3], [-0.3, 2.0]]) + [4, -7] + rng.normal(size=(12, 2))
+    pairs = spark.createDataFrame([("g", *map(float, (*p, *q))) for p, q in zip(s, t)] + [("one", 1.0, 1.0, 2.0, 2.0)], "g string, sx double, sy double, tx double, ty double")
+    (got,) = pattern.similarity_fit(pairs, "g").collect()
+    rows = np.concatenate([np.stack([s[:, 0], -s[:, 1], np.ones(12), np.zeros(12)], 1), np.stack([s[:, 1], s[:, 0], np.zeros(12), np.ones(12)], 1)])
+    p, q, e, f = np.linalg.lstsq(rows, np.concatenate([t[:, 0], t[:, 1]]), rcond=None)[0]
+    assert [got.a, got.b, got.e, got.c, got.d, got.f] == pytest.approx([p, -q, e, q, p, f])
+    gap = np.hypot(p * s[:, 0] - q * s[:, 1] + e - t[:, 0], q * s[:, 0] + p * s[:, 1] + f - t[:, 1])
+    assert [got.rmse, got.max_residual] == pytest.approx([np.sqrt((gap**2).mean()), gap.max()])
+
+
+def test_hull_window_and_edge_lines(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 0.0), (3, 4.0, 2.0), (4, 0.0, 2.0), (5, 1.0, 1.0)], "point_id long, x double, y double")
+    near = nb.knn(points, 1)
+    (got,) = pattern.hull_window_index(points, near).collect()
+    mean = (3 * 2**0.5 + 2 + 2) / 5
+    assert [got.n, got.expected, got["index"]] == pytest.approx([5, 0.5 * (8 / 5) ** 0.5, mean / (0.5 * (8 / 5) ** 0.5)])
+    lines = {(r.from_id, r.to_id): r.wkt for r in nb.edge_lines(nb.symmetric(near), points).collect()}
+    assert lines[1, 5] == "LINESTRING (0.0 0.0, 1.0 1.0)" and set(lines) == {(1, 5), (2, 3), (4, 5)}
