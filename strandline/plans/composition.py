@@ -101,6 +101,16 @@ def ca_inertia(spark, d):
     return compose.correspondence(_counts(spark, d), "phase_order", "unit_id", "presence_count")[2]
 
 
+# The inertia of all axes is chi-square over n
+@query(
+    "ca_total_inertia",
+    f"""{_PROFILE}, t AS (SELECT phase_order AS p, unit_id AS u, presence_count::DOUBLE AS n FROM prof WHERE scheme = 'watershed_x_landform'), m AS (SELECT n, sum(n) OVER (PARTITION BY p) AS r, sum(n) OVER (PARTITION BY u) AS c FROM t)
+    SELECT round(sum(n * n / (r * c)) - 1, 8) AS total_inertia FROM m""",
+)
+def ca_total_inertia(spark, d):
+    return ca_inertia(spark, d).agg(F.round(F.sum("inertia"), 8).alias("total_inertia"))
+
+
 # C8
 @query(
     "domain_geography",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,21 +69,38 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace(frame: DataFrame, path: str, form: str = "parquet") -> str | None:
-    """Writes beside ``path`` and then moves into place; what was there is kept under the returned name."""
+    """Writes beside ``path`` and then moves into place; what was there is kept under the returned name.
+
+    The backup's name holds the time (UTC).  If the move into place fails, the backup is moved back.
+    A run that stops between the two moves leaves the backup; ``restore`` brings it back.
+    """
     spark = frame.sparkSession
     jvm, target, fs = _fs(spark, path)
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     frame.write.format(form).save(fresh)
     backup = None
     if fs.exists(target):
-        backup = f"{path}.backup-{uuid.uuid4().hex}"
+        backup = f"{path}.backup-{datetime.now(UTC):%Y%m%dT%H%M%S%fZ}"
         if not fs.rename(target, jvm.org.apache.hadoop.fs.Path(backup)):
             raise OSError(f"{path} could not be moved aside")
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
+        if backup:
+            fs.rename(jvm.org.apache.hadoop.fs.Path(backup), target)
         raise OSError(f"{fresh} could not be moved to {path}")
     return backup
 
 
+def restore(spark: SparkSession, path: str) -> str | None:
+    """Moves the latest backup of ``path`` back if nothing stands there; its name, or None."""
+    jvm, target, fs = _fs(spark, path)
+    if fs.exists(target):
+        return None
+    found = sorted(str(s.getPath()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}.backup-*")) or [])
+    if not found or not fs.rename(jvm.org.apache.hadoop.fs.Path(found[-1]), target):
+        return None
+    return found[-1]
+
+
 def output_audit(spark: SparkSession, expected: list[str], folder: str) -> DataFrame:
     """``(name, found)`` for each expected output in a folder."""
     jvm, target, fs = _fs(spark, folder)

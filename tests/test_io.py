@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,9 @@ def test_replace_and_audit(spark, tmp_path):
     assert writers.replace(spark.range(3).toDF("n"), path) is None
     backup = writers.replace(spark.range(5).toDF("n"), path)
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(backup).count() == 3
+    assert writers.restore(spark, path) is None  # something stands there
+    shutil.rmtree(path)
+    assert writers.restore(spark, path).endswith(backup) and spark.read.parquet(path).count() == 3
     found = {r.name: r.found for r in writers.output_audit(spark, ["t", "gone"], str(tmp_path)).collect()}
     assert found == {"t": True, "gone": False}
     assert writers.template(spark, "a int, b string").columns == ["a", "b"]
