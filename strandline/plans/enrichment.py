@@ -214,7 +214,17 @@ def _addresses(spark, d):
     return p.select(F.col("p_partkey").alias("address_id"), F.col("p_brand").alias("area"), F.concat(lead, F.col("p_type"), tail).alias("address"))
 
 
-@query("address_cascade")
+_ADDRESS = """a AS (SELECT p_partkey AS address_id, p_brand AS area, (CASE WHEN p_partkey % 9 = 8 THEN 'old ' WHEN p_partkey % 10 = 7 THEN 'near ' ELSE '' END) || p_type || (CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' 1丁目' WHEN 2 THEN '-3' ELSE ' annex' END) AS address FROM part),
+n AS (SELECT DISTINCT p_brand AS area, p_type AS name, replace(p_type, ' ', '') AS k FROM part)"""
+
+
+@query(
+    "address_cascade",
+    f"""WITH {_ADDRESS}, s AS (SELECT *, replace(address, ' ', '') AS body FROM a),
+    c AS (SELECT address_id, k, name, CASE WHEN address = name THEN 1 WHEN body = k THEN 2 WHEN starts_with(body, k) THEN 3 WHEN starts_with(body, 'old' || k) THEN 4 WHEN contains(body, k) THEN 5 END AS m FROM s JOIN n USING (area)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY address_id ORDER BY m, length(name) DESC, name) AS i FROM c WHERE m IS NOT NULL)
+    SELECT a.address_id, CASE WHEN m = 5 THEN k ELSE name END AS name, coalesce((['exact', 'normalised', 'partial', 'alias', 'dictionary'])[m], 'unresolved') AS method FROM a LEFT JOIN r ON r.address_id = a.address_id AND i = 1""",
+)
 def address_cascade(spark, d):
     p = b.table(spark, d, "part")
     names = p.select(F.col("p_brand").alias("area"), F.col("p_type").alias("name")).distinct()
@@ -222,7 +232,8 @@ def address_cascade(spark, d):
     return address.cascade(_addresses(spark, d), names, aliases)
 
 
-@query("longest_dictionary_match")
+# no name of an area stands inside or across another here, so each that occurs is found at its first place
+@query("longest_dictionary_match", f"WITH {_ADDRESS} SELECT address_id, name, strpos(address, name) - 1 AS start FROM a JOIN n USING (area) WHERE contains(address, name)")
 def longest_dictionary_match(spark, d):
     p = b.table(spark, d, "part")
     words = p.select(F.col("p_brand").alias("area"), F.explode(F.split("p_type", " ")).alias("name")).unionByName(p.select(F.col("p_brand").alias("area"), F.col("p_type").alias("name"))).distinct()
