@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 
 from strandline.functions.codes import digits_of_kanji, narrow
 
+#: Most names that are sent to all executors.
+FEW = 50_000
+
 
 def normalised(text: Column) -> Column:
     """An address for comparison: ASCII digits and signs, kanji digits read one by one, no blanks."""
     return F.regexp_replace(digits_of_kanji(narrow(F.coalesce(text, F.lit("")))), r"\s+", "")
 
 
+def _placed(names: DataFrame, n: int) -> DataFrame:
+    """``names``, ``n`` in all, for a join with addresses: sent to all if few, else sorted and merged.
+
+    Spark guesses sizes from those of files, by which it takes millions of short
+    addresses for a table to broadcast; so it is told.
+    """
+    return F.broadcast(names) if n <= FEW else names.hint("merge")
+
+
 def longest_matches(addresses: DataFrame, names: DataFrame, most: int = 200_000) -> DataFrame:
     """``(address_id, name, start)``: names found in an address, longer ones first, none overlapping another.
 
@@ -25,10 +37,10 @@ def longest_matches(addresses: DataFrame, names: DataFrame, most: int = 200_000)
     are as many as an area has names (checked against ``most``).
     """
     lists = names.where(F.col("name") != "").groupBy("area").agg(F.sort_array(F.collect_set(F.struct((-F.length("name")).alias("n"), "name"))).alias("names"))
-    widest = lists.agg(F.max(F.size("names"))).first()[0] or 0
-    if widest > most:
-        raise ValueError(f"an area has {widest} names; {most} at most")
-    joined = addresses.join(lists, "area", "left").select("address_id", F.coalesce("address", F.lit("")).alias("address"), F.transform("names", lambda x: x["name"]).alias("names"))
+    told = lists.agg(F.max(F.size("names")).alias("widest"), F.sum(F.size("names")).alias("n")).first()
+    if (told["widest"] or 0) > most:
+        raise ValueError(f"an area has {told['widest']} names; {most} at most")
+    joined = addresses.join(_placed(lists, told["n"] or 0), "area", "left").select("address_id", F.coalesce("address", F.lit("")).alias("address"), F.transform("names", lambda x: x["name"]).alias("names"))
     kind = addresses.schema["address_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,22 +65,25 @@ def longest_matches(addresses: DataFrame, names: DataFrame, most: int = 200_000)
 def cascade(addresses: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(address_id, name, method)``: the first method that resolves an address, methods in order.
 
-    exact, normalised, partial (the address begins with the name), alias (an old
-    name stands for a current one), dictionary (longest match anywhere), else
+    exact, normalised, partial (the address begins with the name), alias (it begins
+    with an old name of a current one), dictionary (longest match anywhere), else
     unresolved.  Cheap methods are equality joins, and only what they leave open
     goes on to the dictionary.  Of several names the longest, then the first, wins.
     """
     body = addresses.withColumn("__n", normalised(F.col("address")))
     named = names.withColumn("__n", normalised(F.col("name"))).distinct()
-    exact = body.join(named.select("area", "name"), (body.address == F.col("name")) & (body.area == named.area)).select("address_id", "name", F.lit(1).alias("m"))
-    same = body.select("address_id", "area", "__n").join(named.select("area", "name", "__n"), ["area", "__n"]).select("address_id", "name", F.lit(2).alias("m"))
-    # prefixes of an address meet names by equality
-    prefixes = body.select("address_id", "area", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__n"), F.lit(1))), lambda i: F.substring("__n", F.lit(1), i))).alias("__n"))
-    partial = prefixes.join(named.select("area", "name", "__n"), ["area", "__n"]).select("address_id", "name", F.lit(3).alias("m"))
     old = aliases.select("area", normalised(F.col("old_name")).alias("__n"), F.col("name"))
-    alias = prefixes.join(old, ["area", "__n"]).select("address_id", "name", F.lit(4).alias("m"))
+    entries = named.select("area", "__n", "name", F.lit(False).alias("old")).unionByName(old.withColumn("old", F.lit(True)))
+    # beginnings of an address (as long as some entry, up to the whole) meet entries by equality
+    told = entries.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("__n"))).alias("lengths")).first()
+    size = F.length("__n")
+    lengths = F.filter(F.array(*map(F.lit, told["lengths"])).cast("array<int>"), lambda i: (i <= size) & ((i > 0) | (size == 0)))
+    begun = body.select("address_id", "area", "address", "__n", F.explode(lengths).alias("i")).select(
+        "address_id", "area", F.substring("__n", F.lit(1), F.col("i")).alias("__n"), (F.col("i") == size).alias("whole"), F.when(F.col("i") == size, F.col("address")).alias("address")
+    )
+    method = F.when(F.col("old"), 4).when(F.col("address") == F.col("name"), 1).when(F.col("whole"), 2).otherwise(3)
     best = F.min(F.struct("m", (-F.length("name")).alias("n"), "name")).alias("b")
-    early = exact.unionByName(same).unionByName(partial).unionByName(alias).groupBy("address_id").agg(best)
+    early = begun.join(_placed(entries, told["n"]), ["area", "__n"]).select("address_id", "name", method.alias("m")).groupBy("address_id").agg(best)
     left = body.join(early, "address_id", "left_anti").select("address_id", "area", F.col("__n").alias("address"))
     late = longest_matches(left, named.select("area", F.col("__n").alias("name"))).select("address_id", "name", F.lit(5).alias("m")).groupBy("address_id").agg(best)
     found = early.unionByName(late).select("address_id", "b.name", "b.m")
