@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import address
-from strandline.plans import enrichment
+from strandline.plans import enrichment, registry
 from tests.conftest import SF
+from tests.oracle import compare, connection
 
 
 def plan(frame):
@@ -32,3 +33,15 @@ def test_names_sent_to_all_or_merged(spark, monkeypatch, few):
     }
     assert ("BroadcastHashJoin [area" in plan(frame)) == (few > 0)
     assert address.cascade(a, names.limit(0), aliases.limit(0)).where(F.col("method") == "unresolved").count() == len(rows)
+
+
+def test_checked_addresses_are_not_broadcast(spark):
+    frame = enrichment.address_check(spark, SF)
+    assert "BuildLeft" not in plan(frame)
+    con = connection(SF)
+    con.sql(f"CREATE TABLE found AS {registry.ORACLES['address_cascade']}")
+    sql = """WITH j AS (SELECT p_partkey AS i, p_type AS own, name FROM part JOIN found ON address_id = p_partkey),
+    c AS (SELECT i + 1 AS row_number, CASE WHEN i % 7 = 0 THEN 'InvalidCoordinate' WHEN i % 6 = 0 THEN 'Unresolved' WHEN i % 5 = 0 THEN 'Mismatch' ELSE 'Match' END AS lgc_check,
+      CASE WHEN i % 7 = 0 OR i % 6 = 0 THEN 'NotEvaluated' WHEN name IS NULL THEN 'Unresolved' WHEN name = own THEN 'Match' ELSE 'Mismatch' END AS town_check, concat_ws('; ', name, own) AS candidates FROM j)
+    SELECT *, CASE WHEN lgc_check = 'InvalidCoordinate' THEN lgc_check WHEN 'Mismatch' IN (lgc_check, town_check) THEN 'Check' ELSE 'Unresolved' END AS overall FROM c WHERE lgc_check <> 'Match' OR town_check <> 'Match'"""
+    assert compare(frame, con, sql) is None
