@@ -6,6 +6,8 @@ size, which proves that no nearer one lies outside; places that stay open go on
 cells twice as wide.  Each place starts with cells of a size that follows from how dense a
 bounded sample is around it, so that neither towns nor outliers put many points in one
 cell, and points at one place count as one: only their k + 1 smallest ids can be neighbours.
+A band that holds much of the points has about as many pairs as there are; what is summed over
+them (``band_sums``) is summed where they meet, without a table of pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from strandline.session import checkpointed
 SAMPLE, FINEST, SALTS = 50_000, 44, 64
 #: Share of a cell's size within which neighbours are proven; the rest is for rounding in the finest cells.
 SURE = 0.9
+#: For sums over bands: places of a tile on average, of a tile that one task asks for and that it meets at once, and pairs measured at once.
+WANTED, ASKED, MET, PAIRS = 2_000, 25_000, 200_000, 1 << 20
 
 
 def _around(frame: DataFrame, size: float, *kept: str) -> DataFrame:
@@ -177,6 +182,93 @@ def within(points: DataFrame, band: float, id_col: str = "point_id") -> DataFram
     return pairs.select(F.col("id").alias("from_id"), "to_id", "d")
 
 
+def _strip_sums(asked: np.ndarray, met: np.ndarray, columns: np.ndarray, band: float) -> np.ndarray:
+    """Sums of the ``columns`` of those ``met`` that are within ``band``, for each of ``asked``; rows are x, y.
+
+    Those met are cut into strips and sorted by x.  What is surely inside is a range
+    of each strip, summed by differences of running sums; only what is at the rim is
+    measured.  With strips of the best height the time grows with the root of the density.
+    """
+    out = np.zeros((len(asked), columns.shape[1]))
+    if not len(asked) or not len(met):
+        return out
+    low, span = met.min(axis=0), np.ptp(met, axis=0)
+    height = max(np.sqrt(6 * np.prod(np.maximum(span, band)) / len(met)), span[1] / 1000)
+    strip = ((met[:, 1] - low[1]) / height).astype(np.int64)
+    order = np.lexsort((met[:, 0], strip))
+    strip, x, y, columns = strip[order], met[order, 0], met[order, 1], columns[order]
+    running = np.vstack([np.zeros((1, columns.shape[1])), np.cumsum(columns, axis=0)])
+    begins = np.flatnonzero(np.diff(strip, prepend=-1))
+    by_y = np.argsort(asked[:, 1], kind="stable")
+    ax, ay = asked[by_y, 0], asked[by_y, 1]
+    # margins wider than any error of rounding: what lies within them is measured
+    tiny, reach, more, less = 1e-15 * max(np.abs(met).max(), np.abs(asked).max()), band * (1 + 1e-9), band * band * (1 + 1e-12), band * band * (1 - 1e-12)
+    for a, z in zip(begins, [*begins[1:], len(x)], strict=True):
+        y0, y1, own = y[a:z].min(), y[a:z].max(), x[a:z]
+        i, j = np.searchsorted(ay, y0 - reach - tiny), np.searchsorted(ay, y1 + reach + tiny, "right")
+        if i == j:
+            continue
+        qx, qy = ax[i:j], ay[i:j]
+        near, far = np.maximum(np.maximum(y0 - qy, qy - y1), 0), np.maximum(np.abs(qy - y0), np.abs(qy - y1))
+        wide, sure = np.sqrt(np.maximum(more - near * near, 0)) + tiny, np.sqrt(np.maximum(less - far * far, 0)) - tiny
+        first, last = a + np.searchsorted(own, qx - wide), a + np.searchsorted(own, qx + wide, "right")
+        inside = np.where(sure > 0, a + np.searchsorted(own, qx - sure), first)
+        outside = np.where(sure > 0, a + np.searchsorted(own, qx + sure, "right"), first)
+        sums = running[outside] - running[inside]
+        starts, counts = np.concatenate([first, outside]), np.concatenate([inside - first, last - outside])
+        ends = np.cumsum(counts)
+        for part in np.split(np.arange(len(counts)), np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS))):
+            who = np.repeat(part, counts[part])
+            if not len(who):
+                continue
+            at = starts[who] + np.arange(len(who)) - (ends[who] - counts[who] - (ends[part[0]] - counts[part[0]]))
+            who %= j - i
+            dx, dy = x[at] - qx[who], y[at] - qy[who]
+            hit = np.sqrt(dx * dx + dy * dy) <= band
+            for c in range(columns.shape[1]):
+                sums[:, c] += np.bincount(who[hit], columns[at[hit], c], j - i)
+        out[by_y[i:j]] += sums
+    return out
+
+
+def band_sums(places: DataFrame, band: float, columns: list[str], keys: list[str]) -> DataFrame:
+    """``(*keys, x, y, *columns)``: the sums of ``columns`` over the places of equal keys within ``band`` of each place, itself included.
+
+    ``places`` has one row for each ``(*keys, x, y)``, all finite.  No pair leaves the task that
+    meets it.  Places are dealt out by tiles no smaller than the band; crowded tiles are
+    dealt into several tasks, by those that ask and those that are met.
+    """
+    n, x0, x1, y0, y1 = places.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    side = max(band, math.sqrt(max(x1 - x0, band) * max(y1 - y0, band) * WANTED / n)) if n else band
+    tile = lambda axis, low, by=0.0: F.floor((F.col(axis) + by - (low or 0.0)) / side)
+    reach = band * (1 + 1e-9)
+    around = lambda axis, low: F.explode(F.sequence(tile(axis, low, -reach), tile(axis, low, reach)))
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    asked = places.select(*keys, "x", "y", tile("x", x0).alias("tx"), tile("y", y0).alias("ty"))
+    met = places.select(*keys, "x", "y", *values, around("x", x0).alias("tx")).select("*", around("y", y0).alias("ty"))
+    by = [*keys, "tx", "ty"]
+    sizes = asked.groupBy(*by).agg(F.ceil(F.count("*") / ASKED).alias("n_a")).join(met.groupBy(*by).agg(F.ceil(F.count("*") / MET).alias("n_m")), by)
+    sizes = checkpointed(sizes)
+    blocks = sizes.agg(F.sum(F.col("n_a") * F.col("n_m"))).first()[0] or 1
+    some = lambda parts: F.pmod(F.xxhash64("x", "y"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    asking = asked.join(sizes, by).select(*by, "x", "y", *[F.lit(None).cast("double").alias(c) for c in columns], F.lit(True).alias("asks"), some("n_a").alias("a"), each("n_m").alias("m"))
+    meeting = met.join(sizes, by).select(*by, "x", "y", *columns, F.lit(False).alias("asks"), each("n_a").alias("a"), some("n_m").alias("m"))
+    dealt = asking.unionByName(meeting).repartition(int(min(blocks, 1024)), *by, "a", "m")
+    kept = [*keys, "x", "y"]
+
+    def run(block: pa.Table) -> pa.Table:
+        mask = block.column("asks")
+        own, others = block.filter(mask), block.filter(pc.invert(mask))
+        matrix = lambda table, names: np.stack([table.column(c).to_numpy() for c in names], axis=1)
+        sums = _strip_sums(matrix(own, ["x", "y"]), matrix(others, ["x", "y"]), matrix(others, columns), band)
+        return pa.Table.from_arrays([*(own.column(c) for c in kept), *(pa.array(sums[:, i]) for i in range(len(columns)))], [*kept, *columns])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.select(*kept).schema.fields)
+    found = dealt.groupBy(*by, "a", "m").applyInArrow(run, f"{kinds}, {', '.join(f'`{c}` double' for c in columns)}")
+    return found.groupBy(*keys, "x", "y").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def diagnostics(points: DataFrame, edges: DataFrame, id_col: str = "point_id", far: tuple[float, ...] = (2.0, 5.0)) -> DataFrame:
     """One row: edges, isolates, degrees, edge lengths, and edges longer than each of ``far``."""
     degree = points.select(F.col(id_col).alias("from_id")).join(edges.groupBy("from_id").agg(F.count("*").alias("n")), "from_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))

@@ -83,7 +83,10 @@ def _moran_sql(edges: str, values: str) -> str:
 
 
 def _moran(edges, values):
-    found = spatial.global_moran(edges, values)
+    return _rounded(spatial.global_moran(edges, values))
+
+
+def _rounded(found):
     return found.select("model_id", "n_points", F.round("moran_i", 6).alias("moran_i"), F.round("expectation", 6).alias("expectation"), F.round("variance", 8).alias("variance"))
 
 
@@ -123,7 +126,7 @@ def moran_by_k(spark, d):
 )
 def moran_distance_band(spark, d):
     p = b.points(spark, d)
-    return _moran(_model(nb.within(p, 0.25), "band"), p.select(F.lit("band").alias("model_id"), F.col("point_id").alias("id"), F.col("label").alias("x")))
+    return _rounded(spatial.band_moran(p, p.select(F.lit("band").alias("model_id"), F.col("point_id").alias("id"), F.col("label").alias("x")), 0.25))
 
 
 # The graph is rebuilt on each active subset
