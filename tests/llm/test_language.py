@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +87,29 @@ def test_edges(spark):
     assert L.keep_known(docs).columns == docs.columns
     runs = L.switches(docs, L.fit(["der die und", "the of and"], ["de", "en"])).collect()
     assert sum(r.n_words for r in runs) == 7
+
+
+def test_training_takes_little_room_and_counts_the_same():
+    rng = random.Random(5)
+    texts, langs = [], []
+    for i in range(400):
+        own = "abcd"[i % 4]
+        words = [f"{own}{rng.randrange(9000)}x" if rng.random() < 0.8 else f"Z{rng.randrange(3000)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        langs.append(f"l{own}")
+    docs_with = {}
+    for text, name in zip(texts, langs):
+        for w in {w for w in text.split()}:
+            docs_with.setdefault(w.lower(), []).append(name)
+    want = {w: max(set(n), key=n.count) for w, n in docs_with.items() if len(n) >= 2 and max(map(n.count, n)) >= 0.9 * len(n)}
+    tracemalloc.start()
+    field = L.fit(texts, langs, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = L.word_features(list(want)).keys
+    assert len(field.lexicon_keys) == len(want)
+    assert [field.languages[i] for i in field.lookup(keys)] == list(want.values())
+    assert peak < 40e6, peak
+    few = L.word_features(["straße", "a\x02b", "x", "Ωmega"] * 3)
+    parts = L._features(["straße", "a\x02b", "x", "Ωmega"] * 3, part=5)
+    assert all(np.array_equal(getattr(few, n), getattr(parts, n)) for n in ("slots", "starts", "keys", "letter"))
